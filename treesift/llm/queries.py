@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quote_linking, rule_cascade, simhash_trie, url_rules, winnowing
+from . import bin_packing, html_blocks, kneser_ney, mil_quality, quote_linking, rule_cascade, simhash_trie, token_files, url_rules, winnowing
 from ._spark import table
 
 
@@ -114,6 +114,23 @@ FROM bare LEFT JOIN top USING (conv_id, turn)
 """
 
 
+def _scored(docs: DataFrame, model, held_out, threshold: float) -> DataFrame:
+    score = kneser_ney.score(docs, model)
+    return score.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = kneser_ney.fold("doc_id") == kneser_ney.HELD_OUT
+    return _scored(docs, kneser_ney.fit(docs, labels, learn=~held_out), held_out, 0.5)
+
+
+def op4_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    held_out = mil_quality.fold("doc_id", mil_quality.FOLDS) == mil_quality.HELD_OUT
+    return _scored(docs, mil_quality.fit(docs, labels, learn=~held_out), held_out, 0.7)
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     return url_rules.judge(pages, url_rules.rule_table(spark, url_rules.RULES))
@@ -171,6 +188,18 @@ FROM b
 """
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(token_files.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -178,8 +207,13 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quote_linking": op1_quote_linking,
     "op2_winnowing": op2_winnowing,
+    "op3_kneser_ney": op3_kneser_ney,
+    "op4_mil_quality": op4_mil_quality,
     "op5_url_rules": op5_url_rules,
     "op6_rule_cascade": op6_rule_cascade,
+    "op7_html_blocks": op7_html_blocks,
+    "op8_token_files": op8_token_files,
+    "op9_bin_packing": op9_bin_packing,
     "op10_simhash_trie": op10_simhash_trie,
 }
 
