@@ -1,6 +1,62 @@
-STAGES = []
+"""From documents to packed sequences: five stages, each over all that the one before it kept.
+
+1. quality rules: documents that a rule rejects go;
+2. toxicity: documents that score as toxic go;
+3. SimHash near-duplicates: of each component the document with the smallest id stays;
+4. benchmark decontamination: documents in which a benchmark window occurs go;
+5. best-fit packing: the place of every piece of what is left.
+
+Every stage is written as Parquet and read again before the next one, so a lost executor repeats at
+most one stage.  All but the last keep the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from treesift.llm import bin_packing, kneser_ney, rule_cascade, simhash_trie, token_files, winnowing
+from treesift.llm._spark import fresh_path, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rule_cascade.keep(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = kneser_ney.fit(docs, labels, learn=kneser_ney.fold("doc_id") != kneser_ney.HELD_OUT)
+    return kneser_ney.keep(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_trie.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return winnowing.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(token_files.count_tokens(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Toxicity is a trained model and the packing a sequential heuristic: SQL expresses neither.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to `documents`; returns the rows of the last."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = fresh_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
