@@ -2,7 +2,7 @@
 
 A document's length is its number of tokens with the end id.  One longer than the largest capacity is
 cut into pieces of that length and a rest.  Pieces are packed in decreasing length, each into the open
-bin with the least room that holds it; if none does, a bin is opened.  Which size is opened is decided
+bin with the least room that holds it (of equal ones the fullest); if none does, a bin is opened.  Which size is opened is decided
 jointly: for each permitted size as the least to open (the smallest is the least-cost bin that holds
 the piece) the whole packing is planned, bins are then downsized to the smallest permitted size that
 holds their contents, and the plan of the least total cost is taken.
@@ -77,7 +77,7 @@ def best_fit(histogram: dict[int, int], least: int, capacities: tuple[int, ...],
                 bins += opened
                 continue
             left = rooms[i]
-            first, n, held = room[left].pop()
+            first, n, held = room[left].pop(max(range(len(room[left])), key=lambda g: room[left][g][2]))  # noqa: B023
             if not room[left]:
                 del room[left], rooms[i]
             each = left // length

@@ -50,7 +50,7 @@ _HINT = re.compile(r"(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(?:" + "|".join(_HINTS
 _MAIN_HINT = re.compile(r"(?<![a-z])(?:article|content|entry|main|post|story)(?![a-z])")
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,4096}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
 _HIDDEN_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _HIDDEN}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))", re.I)
@@ -91,7 +91,8 @@ def blocks(page: str) -> list[Block]:
     state = (False, False, False, False)
     pieces: list[str] = []
     link_words = links = 0
-    tag, at, n = "", 0, len(page)
+    tag, at, n, last = "", 0, len(page), page.rfind(">")
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal pieces, link_words
@@ -111,7 +112,7 @@ def blocks(page: str) -> list[Block]:
                 link_words += len(_WORD.findall(text))
 
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last or "<!--" in page[at:] else None
         if m is None:
             add(page[at:])
             break
@@ -126,10 +127,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in _HIDDEN_END and name != "head":
             if not closing:
-                end = _HIDDEN_END[name].search(page, at)
+                end = None if name in endless else _HIDDEN_END[name].search(page, at)
                 if end is not None:
                     at = end.end()
-                elif name in ("script", "style"):
+                    continue
+                endless.add(name)
+                if name in ("script", "style"):
                     at = n
             continue
         beside, inside = (False, False) if closing else _hinted(attributes)
@@ -185,6 +188,11 @@ LABELLED = (
     "<div id=cookie-notice><p>W</p></div><main><article><p><keep>W</keep></p><ul><li><keep>W</keep></li><li><keep>W</keep></li></ul><section class=comments><p>W</p><p>W</p></section></article></main>",
     "<div class=header><h2>W3</h2></div><div id=content><h1><keep>W6</keep></h1><p><keep>W60</keep></p><p><keep>W48</keep></p></div><div class=sidebar><p>W40</p><a>W4</a></div><div class=footer><p>W20</p></div>",
     "<div><a>W1</a></div><div><a>W2</a></div><div><a>W2</a></div><div><p><keep>W44</keep></p><p><keep>W52</keep></p><p><keep>W31</keep></p></div><div><a>W5</a></div><div>W3</div>",
+    "<table><tr><td><a>W2</a></td><td><a>W1</a></td></tr></table><div><h1><keep>W7</keep></h1><p><keep>W30</keep></p><p><keep>W25</keep></p></div><div>W2</div>",
+    "<div><p><keep>W90</keep></p></div><div><a>W3</a> <a>W2</a></div><div><p><keep>W50</keep></p></div><div><a>W4</a></div>",
+    "<div><a>W1</a></div><p><keep>W35</keep></p><p><keep>W18</keep></p><p><keep>W70</keep></p><div><a>W2</a></div><div class=footer>W1</div>",
+    "<div><a>W6</a></div><div><p><keep>W26</keep></p><p><keep>W41</keep></p></div><p>W3</p><div class=footer><p>W14</p></div>",
+    "<div><a>W2</a></div><p><keep>W38</keep></p><p><keep>W45</keep></p><p><keep>W33</keep></p><div class=copyright>W2</div>",
     "<article><h1><keep>W</keep></h1><form><p>W</p><button>W</button></form><p><keep>W</keep></p><table><tr><td><keep>W</keep></td><td><keep>W</keep></td></tr></table><div class='ad'>W</div></article>",
     "<article><p><keep>W</keep></p><blockquote><keep>W</keep></blockquote><pre><keep>W</keep></pre><h2><keep>W</keep></h2><p><a><keep>W</keep></a></p></article><aside><p>W</p></aside><form>W</form>",
     "<header><p>W</p><h1>W</h1></header><main><h1><keep>W</keep></h1><p><keep>W</keep></p><nav><a>W</a><a>W</a></nav><div class=related><ul><li><a>W</a></li></ul></div></main><footer><p>W</p></footer>",
