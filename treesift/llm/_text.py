@@ -81,6 +81,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, wherever they stand."""
+    n = len(body)
+    total = np.zeros(n + 1, dtype=_U64)
+    np.cumsum(_BYTE_VALUE[body] * _powers(_BASE, n), out=total[1:])
+    return mix((total[end] - total[start]) * _powers(_INVERSE, n)[start])
+
+
 class Words:
     """The words of a chunk: byte positions `start` and `end`; text d has words first[d]:first[d + 1]."""
 
@@ -113,10 +121,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word, the same in every chunk and process."""
-        n = len(self.body)
-        total = np.zeros(n + 1, dtype=_U64)
-        np.cumsum(_BYTE_VALUE[self.body] * _powers(_BASE, n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _powers(_INVERSE, n)[self.start])
+        return span_hashes(self.body, self.start, self.end)
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words with one space after each, and each word's start and end in that string."""

@@ -10,8 +10,9 @@ delta-encoded, `encoding="delta"`), the other columns delta-encoded, all compres
 groups have about `ROW_GROUP_BYTES`, pages at most `PAGE_ROWS` rows, and page indexes are written, so a
 reader of a few documents, or of the metadata alone, fetches only their pages.
 
-Encoding is by pieces between which no token of the tokenizer can reach, each encoded once and kept in
-a cache of `CACHE_PIECES` entries; texts for which such places can't be told simply are encoded whole.
+Encoding is by pieces between which no token of the tokenizer can reach.  A chunk's pieces are told
+apart by a 64-bit hash and their length; each distinct one is encoded once and kept in a cache of
+`CACHE_PIECES` entries for each worker.
 
 Defined results: null is an empty text and has the end id alone; documents without id come first;
 documents with the same id are ordered by their text; an empty table gives files without rows.  Extra
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._spark import fresh_path, ship
+from ._text import chunks, span_hashes
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 256
-CACHE_PIECES = 400_000
-BATCH = 256
+CACHE_PIECES = 1_000_000
 SCHEMA = "doc_id long, shard int, first long, n_tokens int, ids array<int>"
+_U64 = np.uint64
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -44,12 +46,51 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Space and line ends are single, and full stops and commas follow letters or digits alone.
-_IRREGULAR = re.compile(r"\x00|\s\s|\s\Z|[\W_][.,]")
+def _class(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+_PRINTABLE = _class((0x21, 0x7E))
+_ALNUM = _class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_LEAD_TWO = _class((0xC3, 0xDF))  # of U+00C0 to U+07FF, none of them white space
+_LEAD_LETTER = _class((0xC3, 0xC9))  # of U+00C0 to U+027F, all of them letters but two
+_STOP = _class((0x2C, 0x2C), (0x2E, 0x2E))
+_JOINABLE = re.compile(r" ?\S+")
+
+
+def piece_starts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pieces begin: places that the tokenizer's word pattern never reaches across.
+
+    These are the starts of texts; a space, and a line end on both sides, between two characters
+    that are surely no white space; and a comma or full stop after what is surely a letter or digit.
+    Any other place may go uncut, which costs time alone.
+    """
+    n = len(body)
+    lead = np.zeros(n + 1, dtype=bool)  # the byte two before is the lead of a two-byte character
+    lead[2:] = _LEAD_TWO[body[:-1]]
+    solid = np.zeros(n + 1, dtype=bool)  # a character that is no white space ends before
+    solid[1:] = _PRINTABLE[body]
+    solid |= lead
+    follows = np.zeros(n + 1, dtype=bool)  # and one begins after
+    follows[: n - 1] = _PRINTABLE[body[1:]] | _LEAD_TWO[body[1:]]
+    letter = np.zeros(n + 1, dtype=bool)
+    letter[1:] = _ALNUM[body]
+    two = np.zeros(n + 1, dtype=bool)
+    two[2:] = _LEAD_LETTER[body[:-1]] & ~((body[:-1] == 0xC3) & ((body[1:] == 0x97) | (body[1:] == 0xB7)))
+    letter |= two
+    start = np.zeros(n + 1, dtype=bool)
+    line = (body == 0x0A) & solid[:-1] & follows[:-1]
+    start[:-1] = (body == 0x20) & solid[:-1] & follows[:-1] | line | _STOP[body] & letter[:-1]
+    start[1:] |= line
+    start[at[at < n]] = True
+    return np.flatnonzero(start[:-1])
 
 
 class Encoder:
-    """Encodes texts as bytes of unsigned 32-bit ids, piece by piece."""
+    """Encodes texts with a tokenizer, each distinct piece once while it stays in the cache."""
 
     def __init__(self, spec: str):
         import os
@@ -57,56 +98,79 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(spec)
-        self.whole.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        # pieces may be joined by line ends if the tokenizer keeps those apart
-        self.newline = self._ids(["\n"])[0]
-        alone = self._ids(["a", " b", ",", ".c", "\n", "a\n b\n,\n.c\n\n"])
-        self.joins = len(self.newline) == 1 and np.concatenate([x for p in alone[:4] for x in (p, self.newline)]).tolist() == alone[5][:-1].tolist()
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.encode_special_tokens = True
+        line = self._ids(["\n"])[0]
+        alone = self._ids(["a", " b", ",", ".c", "a\n b\n,\n.c"])
+        self.line = int(line[0])
+        # whether pieces can be encoded together, kept apart by line ends
+        self.joins = len(line) == 1 and np.concatenate([alone[0], line, alone[1], line, alone[2], line, alone[3]]).tolist() == alone[4].tolist()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.first, self.count, self.pool = np.zeros(0, _U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if _IRREGULAR.search(text):
-            return [text]
-        return text.replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-        lone = [p for p in new if not self.joins or not p or p[1:].strip() != p[1:] or "\n" in p or not p.strip() or len(p) > 64 or any(c.isspace() for c in p[1:])]
-        for p, ids in zip(lone, self._ids(lone)):
-            self.cache[p] = ids.tobytes()
-        rest = list(set(new).difference(lone))
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            ids = self._ids(["\n".join(part)])[0]
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) != len(part) - 1:  # not as expected: one by one
-                found = self._ids(part)
-            else:
-                found = [ids[a:b] for a, b in zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist())]
-            for p, own in zip(part, found):
-                self.cache[p] = own.tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), BATCH):
-            cut = [self.pieces(t) for t in texts[k : k + BATCH]]
-            whole = [i for i, p in enumerate(cut) if len(p) == 1]
-            known = dict(zip(whole, self._ids([cut[i][0] for i in whole])))
-            new = list(set().union(*(p for p in cut if len(p) > 1)).difference(self.cache))
-            if new:
-                if len(self.cache) + len(new) > CACHE_PIECES:  # all pieces of this batch must be there
-                    new = list(set().union(*(p for p in cut if len(p) > 1)))
-                self._learn(new)
-            get = self.cache.__getitem__
-            out += [known[i].tobytes() if i in known else b"".join(map(get, p)) for i, p in enumerate(cut)]
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if self.joins and _JOINABLE.fullmatch(p)]
+        for k in range(0, len(joined), 4096):
+            part = joined[k : k + 4096]
+            ids = self._ids(["\n".join([pieces[i] for i in part])])[0]
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(part) - 1:
+                for i, a, b in zip(part, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()):
+                    out[i] = ids[a:b]
+        alone = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(alone, self._ids([pieces[i] for i in alone])):
+            out[i] = x
         return out
 
+    def look_up(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cache entry of each piece of a chunk, number of pieces of each text)."""
+        start = piece_starts(body, at)
+        end = np.append(start[1:], len(body))
+        key, one, each = np.unique(span_hashes(body, start, end) + (end - start).astype(_U64), return_index=True, return_inverse=True)
+        entry = np.searchsorted(self.key, key)
+        new = np.ones(len(key), dtype=bool)
+        inside = entry < len(self.key)
+        new[inside] = self.key[entry[inside]] != key[inside]
+        if new.any():
+            if len(self.key) + new.sum() > CACHE_PIECES:
+                self._clear()
+                new[:] = True
+            raw = body.tobytes()
+            found = self._encode_pieces([raw[a:b].decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())])
+            count = np.array([len(x) for x in found], np.int64)
+            first = len(self.pool) + np.cumsum(count) - count
+            order = np.argsort(np.concatenate([self.key, key[new]]), kind="stable")
+            self.key, self.first, self.count = (np.concatenate(x)[order] for x in ((self.key, key[new]), (self.first, first), (self.count, count)))
+            self.pool = np.concatenate([self.pool, *found])
+            entry = np.searchsorted(self.key, key)
+        pieces = np.diff(np.searchsorted(start, at))
+        return entry[each], pieces
+
+    def counts(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of ids of each text of a chunk."""
+        entry, pieces = self.look_up(body, at)
+        total = np.append(0, np.cumsum(self.count[entry]))
+        return np.diff(total[np.append(0, np.cumsum(pieces))])
+
+    def encode(self, body: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a chunk, each with the end id after it; number of ids of each)."""
+        entry, pieces = self.look_up(body, at)
+        count = self.count[entry]
+        before = np.cumsum(count) - count
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        size = np.bincount(text, count, len(pieces)).astype(np.int64) + 1
+        out = np.full(int(size.sum()), end_id, np.int32)
+        n = int(count.sum())
+        step = np.arange(n)
+        out[step + np.repeat(text, count)] = self.pool[step + np.repeat(self.first[entry] - before, count)]
+        return out, size
+
 
 _encoders: dict[int, Encoder] = {}
 
@@ -124,17 +188,11 @@ def _spec(spark: SparkSession, tokenizer: str | None):
         return spark.sparkContext.broadcast(f.read())  # the vocabulary file, a few MB whatever the input
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, BATCH):
-        yield batch.slice(k, BATCH)
-
-
 def _count_batches(shared, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
-            for part in _slices(batch):
-                counts += [len(x) // 4 + end for x in _encoder(shared).encode([t or "" for t in part.column(1).to_pylist()])]
+            found = [_encoder(shared).counts(body, at) for _, _, body, at in chunks(batch.column(1))]
+            counts = np.concatenate(found) + end if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return run
@@ -151,18 +209,16 @@ def _row_batches(shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        shard, first = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in _slices(batch):
-                found = [x + end for x in _encoder(shared).encode([t or "" for t in part.column(1).to_pylist()])]
-                count = np.array([len(x) // 4 for x in found], np.int64)
-                at = np.append(0, np.cumsum(count))
-                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+            for lo, hi, body, at in chunks(batch.column(1)):
+                ids, size = _encoder(shared).encode(body, at, end_id)
+                ends = np.append(0, np.cumsum(size))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(count), shard), pa.int32()), pa.array(first + at[:-1], pa.int64()), pa.array(count, pa.int32()), ids],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, shard), pa.int32()), pa.array(first + ends[:-1], pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
                     names=["doc_id", "shard", "first", "n_tokens", "ids"],
                 )
-                first += int(at[-1])
+                first += int(ends[-1])
 
     return run
 
