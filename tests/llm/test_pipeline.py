@@ -42,7 +42,7 @@ def test_stages(spark, corpus):
     kept = {}
     for name, stage in P.STAGES[:-1]:
         rows = _spark.cut(stage(spark, rows, folder))
-        assert rows.dtypes == [tuple(x.split()[::1]) if False else (x.split()[0], x.split()[1].replace("long", "bigint")) for x in COLUMNS.split(", ")]
+        assert rows.dtypes == [(x.split()[0], x.split()[1].replace("long", "bigint")) for x in COLUMNS.split(", ")]
         kept[name] = {r.doc_id for r in rows.collect()}
     assert kept["quality_rules"] == set(docs) - {300, 301, 302, 303, 304}
     left = {d for d in kept["toxicity"] if 200 <= d < 300}
