@@ -32,10 +32,10 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("hot_rows", [3, U.HOT_ROWS])
-def test_given_rules(spark, hot_rows):
+@pytest.mark.parametrize("least_rows", [2, U.LEAST_ROWS])
+def test_given_rules(spark, least_rows):
     rows = [(i, u) for i, u in enumerate(URLS)] + [(3, "http://www.example.com/en/a")] * 5 + [(None, "http://a.net/es/")] * 2
-    assert run(spark, rows, U.RULES, hot_rows=hot_rows) == brute(rows, U.RULES)
+    assert run(spark, rows, U.RULES, least_rows=least_rows) == brute(rows, U.RULES)
 
 
 def test_random_nested_rules(spark):
@@ -47,7 +47,7 @@ def test_random_nested_rules(spark):
     for h, p, v in rules:
         unique[h, p] = max(v, unique.get((h, p), ""))
     rows = [(i, f"http://{host()}{rng.choice(('', '/' + part(8)))}") for i in range(300)]
-    assert run(spark, rows, rules, default="block", hot_rows=20) == brute(rows, [(h, p, v) for (h, p), v in unique.items()], "block")
+    assert run(spark, rows, rules, default="block", least_rows=20) == brute(rows, [(h, p, v) for (h, p), v in unique.items()], "block")
 
 
 def test_empty_tables(spark):

@@ -10,8 +10,9 @@ Rules and URLs of a reversed host are sorted together by path; each rule carries
 rules whose intervals contain it, so the stack in force at a URL is that of the last rule before it,
 without those whose interval has ended, and its deepest remaining entry is the answer.
 
-A host with over `HOT_ROWS` URLs is dealt in that many parts, each with all rules of that host; no
-group grows with the input.  The rules need not be small: they are joined and swept like the URLs.
+A host with more URLs than a fair share of a task (and than `LEAST_ROWS`) is dealt in parts of that
+size, each with all rules of that host; no group grows with the input.  The rules need not be small:
+they are joined and swept like the URLs.
 
 Defined results: a null url, or one without `://`, has empty host and path, and so no rule.  Equal
 rules count once.  Rules with a null host or path are ignored.  Repeated rows and null ids come back
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._spark import cut
 
-HOT_ROWS = 1 << 16
+LEAST_ROWS = 500
 
 RULES = [
     ("com", "/", "allow"),
@@ -57,7 +58,7 @@ def _stacks(rules: DataFrame) -> DataFrame:
     return own.join(outer, ["key", "prefix"]).groupBy("key", "path").agg(F.sort_array(F.collect_list("rule"), asc=False).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", hot_rows: int = HOT_ROWS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", least_rows: int = LEAST_ROWS) -> DataFrame:
     """(id, host, path, rule, verdict): one row for each row of `pages`."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path")).groupBy(id_col, "host", "path").agg(F.count("*").alias("copies"))
@@ -84,7 +85,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         if deepest
         else urls.limit(0).withColumn("key", F.lit(""))
     )
-    hot = cut(points.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts")))
+    counts = cut(points.groupBy("key").count())
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(least_rows, (counts.agg(F.sum("count")).first()[0] or 0) // tasks)
+    hot = counts.where(F.col("count") > share).select("key", F.ceil(F.col("count") / share).cast("int").alias("parts"))
     points = points.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(id_col, "host", "path"), F.col("parts")).cast("int"), F.lit(0)))
     starts = (
         _stacks(rules)
