@@ -18,6 +18,8 @@ def texts():
         line = lambda: rng.choice((" ", "\t", "  ", "\x0c")).join(rng.choice(words[: rng.choice((4, 10))]) + str(rng.randrange(3000)) * (i % 3) for _ in range(rng.randrange(12)))
         body = [line() for _ in range(rng.randrange(30))]
         out.append((10 + i, rng.choice(("\n", "\r\n", "\n\n")).join(body + body[: rng.randrange(8)])))
+    for i in range(4):  # such as all rules pass
+        out.append((100 + i, "\n".join(" ".join(f"wörd{chr(97 + j)}{chr(97 + k)}{i}" for k in range(12)) for j in range(6)) + "\nagain" * i))
     return out + [(200, "many words in a very long text " * 40_000)]
 
 

@@ -162,8 +162,8 @@ WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), ln AS (
-  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
-  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT rid, sum(n) - count(*) AS n_dup_lines, sum(n * length(line)) AS line_chars, sum((n - 1) * length(line)) AS dup_line_chars
+  FROM (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) GROUP BY rid, line)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
 ), g AS (
   SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
@@ -176,13 +176,13 @@ WITH d AS MATERIALIZED (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits
+         coalesce(line_chars, 0) AS line_chars, coalesce(dup_line_chars, 0) AS dup_line_chars, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits
   FROM d LEFT JOIN ln USING (rid) LEFT JOIN rw USING (rid)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * dup_line_chars > 3 * line_chars OR word_chars < 2 * n_words
                                 OR word_chars > 15 * n_words OR 2 * n_digits > word_chars) AS kept
 FROM b
 """

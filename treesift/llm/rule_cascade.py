@@ -82,12 +82,24 @@ class Statistics:
         np.cumsum(self.words.inside, out=total[1:])
         return total[self.lines.end] > total[self.lines.start]
 
-    def _n_lines(self) -> np.ndarray:
-        return np.bincount(self.lines.text_of()[self.has_word], minlength=len(self)).astype(np.int64)
+    def _again_line(self) -> np.ndarray:
+        """For each line that has a word, whether its text has had it before."""
+        return ~_first_of(self.lines.text_of()[self.has_word], self.lines.hashes()[self.has_word])
+
+    def _line_sizes(self) -> np.ndarray:
+        """The code points of each line that has a word."""
+        total = np.zeros(len(self._body) + 1, np.int64)
+        np.cumsum(_CODE_POINT[self._body], out=total[1:])
+        return (total[self.lines.end] - total[self.lines.start])[self.has_word]
+
+    def _line_chars(self) -> np.ndarray:
+        return np.bincount(self.lines.text_of()[self.has_word], self.line_sizes, len(self)).astype(np.int64)
+
+    def _dup_line_chars(self) -> np.ndarray:
+        return np.bincount(self.lines.text_of()[self.has_word], self.line_sizes * self.again_line, len(self)).astype(np.int64)
 
     def _n_dup_lines(self) -> np.ndarray:
-        text, has = self.lines.text_of()[self.has_word], self.lines.hashes()[self.has_word]
-        return np.bincount(text[~_first_of(text, has)], minlength=len(self)).astype(np.int64)
+        return np.bincount(self.lines.text_of()[self.has_word][self.again_line], minlength=len(self)).astype(np.int64)
 
     def _n_repeat_words(self) -> np.ndarray:
         """Words in runs of three words that the text has twice or more."""
@@ -124,7 +136,7 @@ BASE = (
 #: The method's own rules, in integers so that SQL computes the same.
 OWN = (
     Rule("symbols", lambda s: 10 * s.n_symbols > s.n_words),
-    Rule("repeated_lines", lambda s: 10 * s.n_dup_lines > 3 * s.n_lines),
+    Rule("repeated_lines", lambda s: 10 * s.dup_line_chars > 3 * s.line_chars),
     Rule("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 15 * s.n_words)),
     Rule("digits", lambda s: 2 * s.n_digits > s.word_chars),
 )
