@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from treesift.llm import bin_packing, kneser_ney, rule_cascade, simhash_trie, token_files, winnowing
-from treesift.llm._spark import fresh_path, table
+from treesift.llm._spark import fresh_path, remove, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; returns the rows of the last."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to `documents`; returns the rows of the last.
+
+    What a stage has kept is deleted as soon as the next one is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
