@@ -70,7 +70,7 @@ def find(entries, query, **more):
         ("file: type:images", ["/thumbs.jpg/picture.jpg", "/Report.PNG"]),
         ("type:archives type:apps", ["/kind/installer.dmg"]),
         ("dm:today leaf", ["/leaf.txt", "/src/a/b/c/d/leaf.txt"]),
-        ("dm:<2023-12-01 file:", ["/data/big.bin", "/Report.PNG", "/alias"][::-1][:0] + ["/alias", "/data/big.bin", "/Report.PNG"]),
+        ("dm:<2023-12-01 file:", ["/alias", "/data/big.bin", "/pkgtest.bundle", "/Report.PNG"]),
         ("size:>=1mb", ["/data/big.bin", "/data/data.json"]),
         ("len:4..6 ext:md", []),
         ("len:9 startwith:re", ["/README.md"]),
