@@ -220,6 +220,19 @@ def test_snapshots(spark, entries, tmp_path):
     assert snapshot.load(spark, folder).count() == loaded.count()
 
 
+def test_filters_reach_the_scan(spark, entries, tmp_path):
+    snapshot.save(entries, str(tmp_path / "s"))
+    found = search(snapshot.load(spark, str(tmp_path / "s")), "report ext:txt,md size:>10 dm:month -folder:", now=NOW, scope_root="/src").rows.select("path")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PushedFilters") :]
+    for part in ("GreaterThan(size,10)", "In(ext, [md,txt])", "StringStartsWith(path,/src/)", "GreaterThanOrEqual(mtime_ns"):
+        assert part in scan, (part, scan)
+    read = scan[scan.index("ReadSchema") :]
+    assert "path_ufold" not in read and "crtime_ns" not in read and "subtree_size" not in read
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_stream_is_idempotent(spark, entries, tmp_path):
     folder, events = str(tmp_path / "s"), str(tmp_path / "events")
     snapshot.save(entries, folder)
@@ -282,6 +295,54 @@ def test_exports(spark, tmp_path):
     assert {(r.name, r.kind, r.extension) for r in export.detail(df).collect()} == {("/", "Folder", ""), ('a,"b".txt', "TXT file", "txt")}
 
 
+def test_fingerprints(spark, entries):
+    from treesift.functions import fingerprint as P
+
+    assert P.fnv1a("") == 0xCBF29CE484222325 and P.fnv1a("a") == 0xAF63DC4C8601EC8C
+    assert P.character_mask("aA9") == 1 | 1 << 35 and P.character_mask(".") == 1 << (36 + 46 % 28)
+    masked = entries.withColumn("mask", P.mask_column(F.col("name_fold")))
+    for term in ("report", "é", "md"):
+        lost = masked.where(F.contains("name_fold", F.lit(term)) & ~P.may_contain(F.col("mask"), term))
+        assert lost.isEmpty()
+
+
+def test_a_newer_job_replaces_the_older(spark):
+    import threading
+    import time
+
+    from treesift.operators.supersede import Latest
+
+    latest, seen = Latest(spark), []
+
+    def slow():
+        try:
+            latest.run(lambda: spark.range(10**13).selectExpr("sum(id * id % 7)").collect())
+        except Exception as e:
+            seen.append(e)
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    time.sleep(2)
+    assert latest.run(lambda: spark.range(5).count()) == 5
+    thread.join(30)
+    assert not thread.is_alive() and len(seen) == 1
+
+
+def test_history_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([("/a", 3, 1.5), ("/é", 1, 2.0)], "path string, count long, last_run double")
+    history.save(rows, str(tmp_path / "h"))
+    assert {tuple(r) for r in history.load(spark, str(tmp_path / "h")).collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_mounts_and_large_contents(spark, entries):
+    other = ingest(spark.createDataFrame([("/mnt/x/new.txt", "new.txt", 7, 1, 1, 1, 0), ("/mnt", "mnt", 0, 1, 1, 2, 0)], SCHEMA))
+    both = live.mount(live.unmount(entries, "/data"), other.where("path like '/mnt%'"))
+    assert find(both, "new|data") == ["/mnt/x/new.txt"]
+    contents = spark.createDataFrame([("/data/big.bin", "abc"), ("/leaf.txt", "abc")], "path string, content string")
+    r = search(entries, "content:abc", contents=contents, options=SearchOptions(content_max_bytes=1 << 20))
+    assert r.total() == 1 and r.content_skipped_large() == 1
+
+
 def test_empty_listing(spark):
     empty = ingest(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and find(empty, "a", sort="relevance", ascending=False) == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scoring import frecency
 
@@ -27,6 +27,15 @@ def prune(history: DataFrame, now: float, cap: int = CAP, half_life_days: float
     return scored(history, now, half_life_days).orderBy(F.desc("frecency"), "path").limit(cap).select(*columns)
 
 
+def save(history: DataFrame, folder: str) -> None:
+    """Writes the history as JSON lines to a new folder."""
+    history.select("path", "count", "last_run").write.mode("error").json(folder)
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("path string, count long, last_run double").json(folder)
+
+
 def recent_searches(searches: DataFrame, cap: int = 15, least: int = 2) -> DataFrame:
     """(query, at): the latest of each query, whatever its case, newest first, `cap` of them."""
     latest = Window.partitionBy(F.lower("query")).orderBy(F.desc("at"), "query")

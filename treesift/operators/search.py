@@ -33,6 +33,7 @@ class SearchResult:
     limit: int
     parsed: ParsedQuery | None = None
     content_candidates: DataFrame | None = None
+    content_too_large: DataFrame | None = None
     options: SearchOptions = SearchOptions()
 
     @property
@@ -53,6 +54,10 @@ class SearchResult:
         """Whether there were more files than the budget of a `content:` search."""
         return self.content_candidates is not None and self.content_candidates.count() > self.options.content_budget
 
+    def content_skipped_large(self) -> int:
+        """Files that a `content:` search has left out for their size."""
+        return self.content_too_large.count() if self.content_too_large is not None else 0
+
 
 def acts_as_dir() -> Column:
     return F.col("is_dir") & ~F.col("is_package")
@@ -149,7 +154,7 @@ def search(
             found = found.where(reduce(and_, conditions))
     ranked = parsed is not None and not (parsed.is_empty and not scope_root)
 
-    considered = None
+    considered = too_large = None
     if parsed is not None and parsed.tags:
         if tags is None:
             raise ValueError("a query with tag: needs the tags table")
@@ -157,6 +162,7 @@ def search(
     if parsed is not None and parsed.content is not None:
         if contents is None:
             raise ValueError("a query with content: needs the contents table")
+        too_large = found.where(~F.col("is_dir") & (F.col("size") > options.content_max_bytes))
         found, considered = _with_contents(found, contents, parsed.content, parsed.case_sensitive, scan_order(sort, ascending, options), options)
     if options.hide_hidden:
         found = found.where("not is_hidden")
@@ -168,7 +174,7 @@ def search(
     if sort == "relevance" and ranked:
         total = match_score(parsed, mode, options) + scoring.frecency_boost(F.col("frecency")) + scoring.recency(F.col("mtime_ns"), now)
         found = found.withColumn("score", scoring.final_score(total, F.col("depth")).cast("long"))
-    return SearchResult(found, result_order(sort, ascending, options, ranked), limit, parsed, considered, options)
+    return SearchResult(found, result_order(sort, ascending, options, ranked), limit, parsed, considered, too_large, options)
 
 
 def refine(entries: DataFrame, previous: SearchResult, query: str, **arguments) -> SearchResult:

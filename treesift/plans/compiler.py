@@ -131,7 +131,7 @@ def filters(query: ParsedQuery, mode: str = EXACT, options: SearchOptions = Sear
     if query.empty_dirs:
         out.append(F.col("is_empty_dir"))
     if query.exts:
-        out.append(F.coalesce(F.col("ext").isin(query.exts), F.lit(False)))
+        out.append(F.col("ext").isin(query.exts))  # bare, so that scans can prune by it; null counts as no match here
     if query.not_exts:
         out.append(~F.coalesce(F.col("ext").isin(query.not_exts), F.lit(False)))
     out += [F.col("type_mask").bitwiseAND(F.lit(m)) != 0 for m in query.types]

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .api import Engine
-from .functions import highlight, scoring
+from .functions import fingerprint, highlight, scoring
 from .functions.text import kind, shown_extension
 from .operators import diff, history, tree
 from .operators.ingest import select_listing
@@ -216,6 +216,8 @@ _over_entries("crawl_stats", listings.crawl_stats, "SELECT count(*) FILTER (obj_
 _over_entries("match_total", lambda e: search(e, "report", now=NOW).matches.agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM entries WHERE {_name('report')}")
 _over_entries("names_kinds", lambda e: e.select("path", kind(F.col("obj_type"), F.col("name")).alias("kind"), shown_extension(F.col("name")).alias("shown"), F.coalesce("parent_path", "path").alias("folder")).where("folder <> '/x'"), "SELECT path, CASE WHEN obj_type = 5 THEN 'Alias' WHEN is_dir AND shown IN ('app', 'bundle', 'appex', 'plugin', 'kext', 'mlmodelc', 'xcodeproj', 'playground', 'docset', 'photoslibrary', 'musiclibrary', 'tvlibrary', 'fcpbundle') THEN 'Bundle' WHEN is_dir THEN 'Folder' WHEN shown = '' THEN 'Document' ELSE upper(shown) || ' file' END AS kind, shown, coalesce(parent_path, path) AS folder FROM (SELECT *, lower(regexp_extract(name, '^.+\\.([^./ ]+)$', 1)) AS shown FROM entries)".replace("\\\\", "\\"))
 _over_entries("highlight_spans", lambda e: e.where("ext = 'md'").select("path", highlight.highlight(F.col("name"), "report -x md").alias("spans")), None)
+_over_entries("name_masks", lambda e: e.select("path", fingerprint.mask_column(F.col("name")).alias("mask"), fingerprint.fnv_column(F.col("path")).alias("fnv")), None)
+_over_entries("mask_prefilter", lambda e: e.where(fingerprint.may_contain(fingerprint.mask_column(F.col("name_fold")), "report") & F.contains("name_fold", F.lit("report"))).select("path"), "SELECT path FROM entries WHERE contains(name_fold, 'report')")
 _over_entries("fuzzy_scores", lambda e: e.where("name_fold like '%r%p%t%'").select("path", scoring.fuzzy_score("rpt")(F.col("name_fold"), F.col("name")).alias("score")), None)
 
 
@@ -395,6 +397,21 @@ def request_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("request_response", request_response, f"{ENTRIES_SQL}, m AS (SELECT * FROM entries WHERE {_name('report')} AND ext = 'pdf') SELECT path, name, size, is_dir AS \"isDir\", (SELECT count(*) FROM m) AS total FROM m ORDER BY size DESC, depth DESC, path DESC LIMIT 20")
 
 
+def root_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries after one root has been crawled anew."""
+    e = entries(spark, sf_dir)
+    return live.rescan(e, "/corpus/src1", changed_listing(tables.listing(spark, sf_dir))).select("path", "size")
+
+
+register(
+    "root_rescan", root_rescan,
+    f"{ENTRIES_SQL}{_CHANGED}, found AS (SELECT path, size, change = 'replaced' AS is_dir FROM changes WHERE change <> 'removed' AND starts_with(path, '/corpus/src1/')), "
+    "alive AS (SELECT path, size FROM entries WHERE depth > 0 AND NOT (path = '/corpus/src1' OR starts_with(path, '/corpus/src1/')) UNION ALL SELECT path, size FROM found), "
+    "up AS (SELECT DISTINCT CASE WHEN n = 1 THEN '/' ELSE array_to_string(string_split(path, '/')[1:n], '/') END AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM alive)) "
+    "SELECT path, size FROM alive UNION ALL SELECT path, 0 FROM up WHERE path NOT IN (SELECT path FROM alive)",
+)
+
+
 def root_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots to crawl: local volumes and custom folders, and how they differ from those that are indexed."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import diff
+from ..operators.ingest import ingest, under
 from ..operators.tree import live, parent_of
 from ..sources import snapshot
 from ..sources.keep import keep
@@ -92,10 +93,21 @@ def follow(spark: SparkSession, events: DataFrame, folder: str, lister: Lister,
 
 def mount(entries: DataFrame, added: DataFrame) -> DataFrame:
     """The entries with those of a new root; where a stub of the root was listed, it is replaced."""
-    columns = [c for c in entries.columns]
+    columns = entries.columns
     return entries.join(added.select("path"), "path", "left_anti").select(*columns).unionByName(added.select(*columns))
 
 
+def rescan(entries: DataFrame, root: str, listing: DataFrame) -> DataFrame:
+    """The entries with all below a root replaced by what a new crawl of it has found.
+
+    For roots that send no events; run it on a schedule.  An offline root's rows stay until then, and
+    the fresh ones take their place, so none is there twice.
+    """
+    outside = live(entries).where(~under(F.col("path"), root))
+    base = ("path", "name", "size", "mtime_ns", "crtime_ns", "obj_type", "flags")
+    return ingest(outside.where("depth > 0").select(*base).unionByName(listing.where(under(F.col("path"), root)).select(*base)))
+
+
 def unmount(entries: DataFrame, root: str) -> DataFrame:
     """The entries with a root and all below it marked as deleted."""
     gone = entries.sparkSession.createDataFrame([(root,)], "path string")
