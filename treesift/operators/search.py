@@ -42,7 +42,7 @@ class SearchResult:
 
     def ranked(self) -> DataFrame:
         """The rows with their place (one task numbers at most `limit` rows)."""
-        return self.rows.withColumn("rank", F.row_number().over(Window.orderBy(*self.order)))
+        return self.rows.withColumn("rank", F.row_number().over(Window.orderBy(*self.order)).cast("long"))
 
     def total(self) -> int:
         return self.matches.count()

@@ -97,7 +97,7 @@ above AS (
   FROM above WHERE path NOT IN (SELECT path FROM listing)
 ), plain AS (
   SELECT *, {_lower("name")} AS name_fold, {_bare("name")} AS name_ufold, {_lower("path")} AS path_fold, {_bare("path")} AS path_bare,
-    CASE WHEN path = '/' THEN 0 ELSE length(path) - length(replace(path, '/', '')) END AS depth,
+    CAST(CASE WHEN path = '/' THEN 0 ELSE length(path) - length(replace(path, '/', '')) END AS INTEGER) AS depth,
     CASE WHEN path <> '/' THEN CASE WHEN path[1:length(path) - length(name) - 1] = '' THEN '/' ELSE path[1:length(path) - length(name) - 1] END END AS parent_path
   FROM base
 ), typed AS (
