@@ -70,8 +70,8 @@ WITH RECURSIVE m AS MATERIALIZED (
   SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM m WHERE quotes AND conv_id IS NOT NULL AND turn IS NOT NULL
 ), ll AS (
-  SELECT rid, conv_id, turn, pos, len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
-         trim(regexp_replace(translate(regexp_replace(line, '^(?:[ \t]*>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ') AS body
+  SELECT rid, conv_id, turn, pos, len(regexp_replace(regexp_extract(line, '^[ \t>]*>'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(translate(regexp_replace(line, '^[ \t>]*>', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ') AS body
   FROM l
 ), lr AS (
   SELECT *, CASE WHEN lag(level, 1, -1) OVER w <> level OR lag(body, 1, '') OVER w = '' THEN 1 ELSE 0 END AS fresh
@@ -108,8 +108,8 @@ WITH RECURSIVE m AS MATERIALIZED (
   SELECT conv_id, turn, any_value(reply_to) AS reply_to, min(thread) AS thread, max(depth) AS depth FROM t GROUP BY ALL
 )
 SELECT conv_id, turn, role, reply_to, coalesce(thread, turn) AS thread, coalesce(depth, 0)::BIGINT AS depth,
-       len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^(?:[ \t]*>)+')))::BIGINT AS n_quoted,
-       CASE WHEN quotes THEN regexp_replace(regexp_replace(own, '\n[ \t\r]*(?:\n[ \t\r]*)+', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') ELSE own END AS content
+       len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^[ \t>]*>')))::BIGINT AS n_quoted,
+       CASE WHEN quotes THEN regexp_replace(regexp_replace(own, '\n[ \t\r\n]*\n', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') ELSE own END AS content
 FROM bare LEFT JOIN top USING (conv_id, turn)
 """
 
