@@ -347,3 +347,20 @@ def test_empty_listing(spark):
     empty = ingest(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and find(empty, "a", sort="relevance", ascending=False) == []
     assert search(empty, "").total() == 0 and F is not None
+
+
+def test_whole_tree_queries(spark):
+    """Over every entry, of any extension and depth, against the stored columns and plain Python."""
+    import __spark_entry__ as E
+
+    from treesift import queries as engine
+
+    folder = "/root/testdata/sf0.001"
+    run = lambda name: E.queries()[name](spark, folder).collect()
+    rows = engine.entries(spark, folder).select("path", "depth", "name").collect()
+    assert len({r.path for r in rows}) == len(rows) and max(r.depth for r in rows) > 3
+    assert sorted((r.path, r.depth) for r in run("tree_paths_all")) == sorted((r.path, r.depth) for r in rows)
+    want = [(r.path, "/".join(r.path.split("/")[:n]) or "/") for r in rows if r.path != "/" for n in range(1, len(r.path.split("/")))]
+    assert sorted((r.path, r.ancestor) for r in run("tree_ancestors_all") if r.path != "/") == sorted(want)
+    assert sorted(r.path for r in run("highlight_spans")) == sorted(r.path for r in rows)
+    assert len(run("csv_lines_all")) == len(rows)

@@ -207,6 +207,7 @@ def _over_entries(name: str, run: Callable[[DataFrame], DataFrame], sql: str | N
 # Tree
 _over_entries("entries_columns", lambda e: e.select("path", "name_fold", "name_ufold", "path_ufold", "parent_path", "depth", "ext", "type_mask", "is_package", "is_hidden"), "SELECT path, name_fold, name_ufold, path_ufold, parent_path, depth, ext, type_mask, is_package, is_hidden FROM entries")
 _over_entries("tree_ancestors", lambda e: e.where("ext = 'swift'").select("path", F.explode(tree.ancestors(F.col("path"))).alias("ancestor")), "SELECT path, CASE WHEN n = 1 THEN '/' ELSE array_to_string(string_split(path, '/')[1:n], '/') END AS ancestor FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM entries WHERE ext = 'swift')")
+_over_entries("tree_ancestors_all", lambda e: e.select("path", F.explode(tree.ancestors(F.col("path"))).alias("ancestor")), None)
 _over_entries("folder_sizes", lambda e: e.where("is_dir").select("path", "subtree_size"), "SELECT path, subtree_size FROM entries WHERE is_dir")
 _over_entries("subtree_size", lambda e: tree.subtree_size(e, "/apps"), "SELECT coalesce(sum(size), 0)::BIGINT AS subtree_size FROM entries WHERE starts_with(path, '/apps/') AND NOT is_dir")
 _over_entries("selection_total", lambda e: tree.selection_total(e.where("depth <= 3")), "SELECT coalesce(sum(size) FILTER (NOT is_dir), 0)::BIGINT AS total FROM entries WHERE depth <= 3")
@@ -215,20 +216,29 @@ _over_entries("name_counts", lambda e: e.groupBy("name_fold").agg(F.count("*").a
 _over_entries("crawl_stats", listings.crawl_stats, "SELECT count(*) FILTER (obj_type = 1) AS files, count(*) FILTER (obj_type = 2) AS folders, count(*) FILTER (obj_type = 5) AS links FROM entries")
 _over_entries("match_total", lambda e: search(e, "report", now=NOW).matches.agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM entries WHERE {_name('report')}")
 _over_entries("names_kinds", lambda e: e.select("path", kind(F.col("obj_type"), F.col("name")).alias("kind"), shown_extension(F.col("name")).alias("shown"), F.coalesce("parent_path", "path").alias("folder")).where("folder <> '/x'"), "SELECT path, CASE WHEN obj_type = 5 THEN 'Alias' WHEN is_dir AND shown IN ('app', 'bundle', 'appex', 'plugin', 'kext', 'mlmodelc', 'xcodeproj', 'playground', 'docset', 'photoslibrary', 'musiclibrary', 'tvlibrary', 'fcpbundle') THEN 'Bundle' WHEN is_dir THEN 'Folder' WHEN shown = '' THEN 'Document' ELSE upper(shown) || ' file' END AS kind, shown, coalesce(parent_path, path) AS folder FROM (SELECT *, lower(regexp_extract(name, '^.+\\.([^./ ]+)$', 1)) AS shown FROM entries)".replace("\\\\", "\\"))
-_over_entries("highlight_spans", lambda e: e.where("ext = 'md'").select("path", highlight.highlight(F.col("name"), "report -x md").alias("spans")), None)
+_over_entries("highlight_spans", lambda e: e.select("path", highlight.highlight(F.col("name"), "report -x md").alias("spans")), None)
 _over_entries("name_masks", lambda e: e.select("path", fingerprint.mask_column(F.col("name")).alias("mask"), fingerprint.fnv_column(F.col("path")).alias("fnv")), None)
 _over_entries("mask_prefilter", lambda e: e.where(fingerprint.may_contain(fingerprint.mask_column(F.col("name_fold")), "report") & F.contains("name_fold", F.lit("report"))).select("path"), "SELECT path FROM entries WHERE contains(name_fold, 'report')")
 _over_entries("fuzzy_scores", lambda e: e.where("name_fold like '%r%p%t%'").select("path", scoring.fuzzy_score("rpt")(F.col("name_fold"), F.col("name")).alias("score")), None)
 
 
-def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths found again by recursion over parent links, of the folders' tree."""
-    folders = entries(spark, sf_dir).where("is_dir and depth <= 3")
-    ids = folders.select(F.xxhash64("path").alias("id"), F.coalesce(F.xxhash64("parent_path"), F.lit(-1)).alias("p"), "name", "parent_path")
+def _paths_again(spark: SparkSession, picked: DataFrame) -> DataFrame:
+    ids = picked.select(F.xxhash64("path").alias("id"), F.coalesce(F.xxhash64("parent_path"), F.lit(-1)).alias("p"), "name", "parent_path")
     nodes = ids.select("id", F.when(F.col("parent_path").isNull(), F.lit(-1).cast("long")).otherwise(F.col("p")).alias("parent"), "name")
     return tree.paths_from_parents(spark, nodes).select("path", F.col("depth").cast("int").alias("depth"))
 
 
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths found again by recursion over parent links, of the folders' tree."""
+    return _paths_again(spark, entries(spark, sf_dir).where("is_dir and depth <= 3"))
+
+
+def tree_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all entries, files too."""
+    return _paths_again(spark, entries(spark, sf_dir))
+
+
+register("tree_paths_all", tree_paths_all)
 register("tree_paths", tree_paths, ENTRIES_SQL + "SELECT path, depth FROM entries WHERE is_dir AND depth <= 3")
 
 
@@ -374,6 +384,7 @@ def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("live_stream", live_stream, f"{_AFTER} SELECT path, size FROM after")
 _DATE = "CASE WHEN {0} = 0 THEN '' ELSE strftime(make_timestamp({0} // 1000), '%Y-%m-%d %H:%M:%S') END"
 _over_entries("csv_rows", lambda e: export.csv_rows(search(e, "e ext:md,jpg,bundle", now=NOW).rows), f"SELECT name AS \"Name\", path AS \"Path\", CASE WHEN is_dir THEN '' ELSE size::VARCHAR END AS \"Size\", {_DATE.format('mtime_ns')} AS \"Date Modified\", {_DATE.format('crtime_ns')} AS \"Date Created\" FROM entries WHERE {_name('e')} AND ext IN ('md', 'jpg', 'bundle')")
+_over_entries("csv_lines_all", export.csv_lines, None)
 _over_entries("csv_lines", lambda e: export.csv_lines(e.where("ext = 'zip'")), f"SELECT name || ',' || path || ',' || size || ',' || {_DATE.format('mtime_ns')} || ',' || {_DATE.format('crtime_ns')} AS line FROM entries WHERE ext = 'zip'")
 
 
