@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from treesift.llm import winnowing as W
+from treesift.llm import _text, winnowing as W
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -84,3 +87,42 @@ def test_text_across_chunks(spark):
     long = "alpha beta gamma " * 300_000
     df, bench = frames(spark, [(1, long), (2, "x"), (3, long + "tail")], [(1, "gamma tail")])
     assert sorted(tuple(r)[:3] for r in W.digest(W.scan(df, bench)).collect()) == [(1, 900000, 0), (2, 1, 0), (3, 900001, 2)]
+
+
+def test_items_without_id_hit_but_are_not_named(spark):
+    df, bench = frames(spark, [(1, "x " + "a b c d e f g h i j " * 2), (2, "k"), (3, "z")], [(None, "a b c d e f g h i j"), (None, "k"), (7, "k")])
+    got = sorted(tuple(r) for r in W.digest(W.scan(df, bench)).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == [(1, 21, 20, 1, sha(""), True), (2, 1, 1, 2, sha("7"), True), (3, 1, 0, 0, sha(""), False)]
+    assert [r.doc_id for r in W.clean(df, bench).collect()] == [3]
+
+
+@pytest.mark.parametrize("values", [1, 3, 40])
+def test_collisions_of_hashes_add_nothing(monkeypatch, values):
+    rng = random.Random(values)
+    item = lambda n: " ".join(rng.choice("abcd") * rng.randrange(1, 3) for _ in range(n))
+    items = [(str(i), item(rng.choice((2, 9, 10, 12, 25)))) for i in range(30)]
+    docs = [(i, item(30) + " " + " ".join(rng.choice(items)[1].split()[rng.randrange(3) :]) + " " + item(9)) for i in range(40)]
+    plain = _text.span_hashes
+    monkeypatch.setattr(_text, "span_hashes", lambda *x: plain(*x) % np.uint64(values))
+    rows = W.probe(pa.array([t for _, t in docs], pa.large_string()), W.Index(items))
+    got = [(d, n, len(hit), len(found)) for (d, _), (n, hit, found) in zip(docs, rows)]
+    assert got == [r[:4] for r in sorted(brute(docs, items))] and any(r[2] for r in got)
+
+
+MEMORY = """
+import random, resource
+from treesift.llm import winnowing as W
+rng = random.Random(0)
+words = ["".join(rng.choice("aeioutnrsl") for _ in range(rng.randrange(3, 9))) for _ in range(20000)]
+items = lambda: ((i, " ".join(rng.choices(words, k=150))) for i in range(32 * 1024))
+size = sum(len(t) for _, t in items())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = W.Index(items())
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_an_index_of_32_mb_is_built_within_500_mb():
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 30 << 20 and int(out[1]) < 500

@@ -89,6 +89,34 @@ def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * _powers(_INVERSE, n)[start])
 
 
+_PIECE = 1 << 20
+
+
+def pieces(size: np.ndarray, limit: int = _PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges (lo, hi) of entries whose sizes add up to at most `limit`, or of one entry."""
+    ends, lo, done = np.cumsum(size), 0, 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield lo, hi
+        lo, done = hi, int(ends[hi - 1])
+
+
+def steps(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each entry, as many as its size."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of the bytes of a equal those of b."""
+    out = np.zeros(len(size), dtype=bool)
+    for lo, hi in pieces(size):
+        n = size[lo:hi]
+        step = steps(n)
+        other = a[np.repeat(a_start[lo:hi], n) + step] != b[np.repeat(b_start[lo:hi], n) + step]
+        out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n)[other], minlength=hi - lo) == 0
+    return out
+
+
 class Words:
     """The words of a chunk: byte positions `start` and `end`; text d has words first[d]:first[d + 1]."""
 
