@@ -58,8 +58,47 @@ def test_a_cheap_and_strict_rule_comes_first():
 
     cheap = R.Rule("cheap", lambda s: s.n_words < 5)
     never = R.Rule("never", slow)
-    assert [r.name for r in R.order(["a b", "c"] * 50 + ["one two three four five six"], (never, cheap))] == ["cheap", "never"]
-    assert [r.name for r in R.order([], (never, cheap))] == ["never", "cheap"]
+    def order(texts, given=()):
+        return [r.name for r in R.order(R.measure(pa.array(texts, pa.large_string()), (*given, never, cheap)), (never, cheap), given)]
+
+    assert order(["a b", "c"] * 50 + ["one two three four five six"]) == ["cheap", "never"]
+    assert order([]) == ["never", "cheap"]
+    # a given rule that leaves nothing for the others leaves their order
+    assert order(["a b"], (R.Rule("all", lambda s: s.n_words > 0),)) == ["never", "cheap"]
+
+
+def test_each_rule_sees_what_those_before_it_have_passed(spark):
+    seen = {}
+
+    def counting(name, rejects):
+        def run(s):
+            out = rejects(s)
+            seen[name] = seen.get(name, 0) + len(s)
+            assert len(out) == len(s) and (s.n_words == [len(t.split()) for t in _texts_of(s)]).all()
+            return out
+
+        return R.Rule(name, run)
+
+    def _texts_of(s):
+        return [s._body[a:b].tobytes().decode() for a, b in zip(s._at, s._at[1:])]
+
+    texts = [f"{'w ' * (i % 10 + 1)}{'#' * (i % 4)} end{i}" for i in range(100)]
+    rules = [counting("a", lambda s: s.n_words < 6), counting("b", lambda s: s.n_symbols > 2), counting("c", lambda s: s.n_digits == 1), counting("d", lambda s: s.n_repeat_words > 7)]
+    (_, _, body, at), = R.chunks(pa.array(texts, pa.large_string()))
+    kept = R.survivors(R.Statistics(body, at), rules)
+    want = list(range(100))
+    for name, fits in (("a", lambda t: len(t.split()) >= 6), ("b", lambda t: t.count("#") <= 2), ("c", lambda t: sum(c.isdigit() for c in t) != 1)):
+        assert seen[name] == len(want)
+        want = [i for i in want if fits(texts[i])]
+    assert seen["d"] == len(want) < seen["c"] < seen["b"] < seen["a"] == 100 and set(np.flatnonzero(kept)) <= set(want)
+
+
+def test_the_sample_has_texts_of_any_length_and_stays_on_the_executors(spark):
+    long = "a word and a symbol # again " * 20_000
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    got = df.select("text").mapInArrow(R._measure_batches(R.BASE + R.OWN), "size array<long>, mask array<long>, needs array<array<string>>, name array<string>, seconds array<double>").collect()
+    assert sorted(x for r in got for x in r["size"]) == [0, 5, len(long)]
+    assert {r.name for r in R.plan(df, R.OWN, R.BASE)} == {r.name for r in R.OWN}
 
 
 def test_keep_hands_on_all_columns(spark):

@@ -136,6 +136,18 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.inside = inside
 
+    def only(self, live: np.ndarray, bytes_: np.ndarray) -> Words:
+        """The words of some of the texts; `bytes_`: which bytes are theirs."""
+        out = object.__new__(Words)
+        size, counts = np.diff(self.at), self.counts
+        out.body, out.inside = self.body[bytes_], self.inside[bytes_]
+        out.at = np.append(0, np.cumsum(size[live]))
+        out.first = np.append(0, np.cumsum(counts[live]))
+        own = np.repeat(live, counts)
+        back = np.repeat(self.at[:-1][live] - out.at[:-1], counts[live])
+        out.start, out.end = self.start[own] - back, self.end[own] - back
+        return out
+
     def __len__(self) -> int:
         return len(self.start)
 

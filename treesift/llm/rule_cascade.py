@@ -1,10 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
 A rule rejects a text by statistics of its words and lines.  On a sample of the input each rule's cost
-(seconds for each text, statistics that it is the first to need included) and its selectivity
-(share of texts rejected) are measured, and the rules are ordered by rejection per cost.  Each rule
-then sees only the texts that all rules before it have passed, and computes its statistics for those
-alone.  The order changes the work, never the verdict: a text is kept if no rule rejects it.
+(seconds for each byte, statistics that it is the first to need included) and its selectivity (share of
+texts rejected) are measured, and the rules are ordered by rejection per cost, each measured on what
+those before it have passed.  Each rule then sees only the texts that all rules before it have passed,
+and computes its statistics for those alone; what has been computed before is carried along.  The order
+changes the work, never the verdict: a text is kept if no rule rejects it.
+
+The sample is about `SAMPLE_ROWS` texts, whole and of any length, measured on the executors; the driver
+gets a bit mask and a size for each, and the seconds of each statistic.
 
 Words are runs of anything but space and the ASCII controls from tab to carriage return.
 
@@ -40,14 +44,33 @@ class Statistics:
 
     def __init__(self, body: np.ndarray, at: np.ndarray):
         self._body, self._at, self._had = body, at, {}
+        self._seconds: dict[str, float] = {}  # of each statistic, without those it needs
+        self._asked: list[str] = []
 
     def __getattr__(self, name: str) -> np.ndarray:
         if name.startswith("_"):
             raise AttributeError(name)
+        self._asked.append(name)
         if name not in self._had:
+            began, before = time.perf_counter(), sum(self._seconds.values())
             self._had[name] = getattr(self, f"_{name}")()
+            self._seconds[name] = time.perf_counter() - began - (sum(self._seconds.values()) - before)
         return self._had[name]
 
+    def only(self, live: np.ndarray) -> Statistics:
+        """The statistics of some of the texts; their counts and words are carried along."""
+        if live.all():
+            return self
+        size = np.diff(self._at)
+        inside = np.repeat(live, size)
+        out = Statistics(self._body[inside], np.append(0, np.cumsum(size[live])))
+        for name, value in self._had.items():
+            if name == "words":
+                out._had[name] = value.only(live, inside)
+            elif name in _COUNTED:
+                out._had[name] = value[live]
+        return out
+
     def __len__(self) -> int:
         return len(self._at) - 1
 
@@ -115,6 +138,10 @@ class Statistics:
         return np.bincount(text[np.cumsum(step[:-1]) > 0], minlength=len(count)).astype(np.int64)
 
 
+#: Statistics with one value for each text.
+_COUNTED = {"n_words", "word_chars", "n_symbols", "n_digits", "line_chars", "dup_line_chars", "n_dup_lines", "n_repeat_words"}
+
+
 def _first_of(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Which entries are the first of their (text, value)."""
     out = np.zeros(len(text), dtype=bool)
@@ -142,61 +169,111 @@ OWN = (
 )
 
 
-def order(texts: list[str], rules: tuple[Rule, ...]) -> list[Rule]:
-    """The rules by rejection per cost, greedily: each is measured on what those before it have passed."""
-    left, out, todo = pa.array(texts, pa.large_string()), [], list(rules)
-    had: tuple[str, ...] = ()
-    while todo and len(left):
-        measured = []
-        for rule in todo:
-            rejected, cost = [], 0.0
-            for _, _, body, at in chunks(left):
-                s = Statistics(body, at)
-                for name in had:  # already paid for by the rules before
-                    getattr(s, name)
-                began = time.perf_counter()
-                rejected.append(rule.rejects(s))
-                cost += time.perf_counter() - began
-                used = tuple(s._had)
-            measured.append((float(np.concatenate(rejected).mean()) / max(cost, 1e-9), rule, np.concatenate(rejected), used))
-        best = max(range(len(measured)), key=lambda i: measured[i][0])
-        _, rule, rejected, had = measured[best]
-        out.append(rule)
-        todo.remove(rule)
-        left = left.filter(pa.array(~rejected))
-    return out + todo
+@dataclass
+class Sample:
+    """What the rules do to the texts of a sample: by text the size and which rules reject it; by rule the
+    statistics it asks for; by statistic the seconds (under a rule's name, those of the rule itself)."""
 
+    size: np.ndarray
+    rejected: np.ndarray  # (texts, rules)
+    needs: list[set[str]]
+    seconds: dict[str, float]
 
-def survivors(s: Statistics, rules: list[Rule]) -> np.ndarray:
-    """Which texts of a chunk pass all rules.
 
-    A rule's statistics cover the chunk as it stands; as soon as fewer than half of its texts are
-    left, those are cut out, and later rules work on them alone.
+def measure(column: pa.Array, rules: tuple[Rule, ...]) -> Sample:
+    size, rejected, needs, seconds = [np.zeros(0, np.int64)], [np.zeros((0, len(rules)), bool)], [set() for _ in rules], {}
+    for _, _, body, at in chunks(column):
+        s, found = Statistics(body, at), []
+        for rule, need in zip(rules, needs):
+            s._asked = []
+            began, before = time.perf_counter(), sum(s._seconds.values())
+            found.append(rule.rejects(s))
+            seconds[rule.name] = seconds.get(rule.name, 0.0) + time.perf_counter() - began - (sum(s._seconds.values()) - before)
+            need.update(s._asked, *(needs_of(s, name) for name in s._asked))
+        for name, t in s._seconds.items():
+            seconds[name] = seconds.get(name, 0.0) + t
+        size.append(np.diff(at))
+        rejected.append(np.stack(found, axis=1))
+    return Sample(np.concatenate(size), np.concatenate(rejected), needs, seconds)
+
+
+def needs_of(s: Statistics, name: str) -> set[str]:
+    """The statistics that one is computed from."""
+    again = Statistics(s._body[:0], s._at[:1])
+    getattr(again, name)
+    return set(again._had)
+
+
+def order(sample: Sample, rules: tuple[Rule, ...], given: tuple[Rule, ...] = ()) -> list[Rule]:
+    """The rules by rejection per cost, greedily: each is measured on what those before it, and the given ones, have passed.
+
+    The sample has been measured by (*given, *rules).
     """
-    out, rows, live = np.zeros(len(s), dtype=bool), np.arange(len(s)), np.ones(len(s), dtype=bool)
+    every = [*given, *rules]
+    live = ~sample.rejected[:, : len(given)].any(axis=1)
+    had = set().union(*sample.needs[: len(given)])
+    out, todo = [], list(range(len(given), len(every)))
+    bytes_measured = max(1, int(sample.size.sum()))
+    while todo and live.any():
+        def worth(i: int) -> float:
+            seconds = sum(sample.seconds.get(name, 0.0) for name in {every[i].name, *(sample.needs[i] - had)})
+            return float(sample.rejected[live, i].mean()) / max(seconds / bytes_measured * float(sample.size[live].mean()), 1e-12)
+
+        best = max(todo, key=worth)
+        out.append(every[best])
+        todo.remove(best)
+        had |= sample.needs[best]
+        live &= ~sample.rejected[:, best]
+    return out + [every[i] for i in todo]
+
+
+def survivors(s: Statistics, rules: list[Rule]) -> np.ndarray:
+    """Which texts of a chunk pass all rules; each rule sees those that the rules before it have passed."""
+    rows = np.arange(len(s))
+    out = np.zeros(len(s), dtype=bool)
     for rule in rules:
-        live &= ~rule.rejects(s)
-        if 2 * live.sum() < len(live):
-            s, rows = _only(s, live), rows[live]
-            live = np.ones(len(rows), dtype=bool)
         if not len(rows):
-            break
-    out[rows[live]] = True
+            return out
+        passed = ~rule.rejects(s)
+        s, rows = s.only(passed), rows[passed]
+    out[rows] = True
     return out
 
 
-def _only(s: Statistics, live: np.ndarray) -> Statistics:
-    pieces = [s._body[s._at[i] : s._at[i + 1]] for i in np.flatnonzero(live)]
-    at = np.append(0, np.cumsum([len(p) for p in pieces])).astype(np.int64)
-    return Statistics(np.concatenate(pieces) if pieces else s._body[:0], at)
+def _measure_batches(rules: tuple[Rule, ...]):
+    """One row for each batch: the sizes and masks of its texts, and what its statistics took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure(batch.column(0), rules)
+            mask = (found.rejected << np.arange(len(rules))).sum(axis=1)
+            row = {"size": [found.size], "mask": [mask], "needs": [[sorted(x) for x in found.needs]], "name": [list(found.seconds)], "seconds": [list(found.seconds.values())]}
+            yield pa.RecordBatch.from_pydict(row, _SAMPLE)
 
+    return run
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order measured on about `sample_rows` texts (of up to 2**16 characters)."""
+
+_SAMPLE = pa.schema(
+    [("size", pa.list_(pa.int64())), ("mask", pa.list_(pa.int64())), ("needs", pa.list_(pa.list_(pa.string()))), ("name", pa.list_(pa.string())), ("seconds", pa.list_(pa.float64()))]
+)
+
+
+def plan(docs: DataFrame, rules: tuple[Rule, ...], given: tuple[Rule, ...] = (), text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules in the order measured on about `sample_rows` texts that the given rules pass or not."""
+    ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     share = min(1.0, sample_rows / max(1, docs.count()))
-    picked = texts.sample(False, share, 7).where(F.length("text") <= 1 << 16).limit(2 * sample_rows)
-    return order([r.text for r in picked.collect()], rules)
+    every = (*given, *rules)
+    schema = "size array<long>, mask array<long>, needs array<array<string>>, name array<string>, seconds array<double>"
+    rows = texts.sample(False, share, 7).mapInArrow(_measure_batches(every), schema).collect()
+    needs, seconds = [set() for _ in every], {}
+    for row in rows:
+        for need, more in zip(needs, row.needs):
+            need.update(more)
+        for name, t in zip(row.name, row.seconds):
+            seconds[name] = seconds.get(name, 0.0) + t
+    size, mask = (np.array([x for row in rows for x in row[c]], np.int64) for c in ("size", "mask"))
+    return order(Sample(size, (mask[:, None] >> np.arange(len(every)) & 1).astype(bool), needs, seconds), rules, given)
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -210,7 +287,8 @@ def _judge_batches(own: list[Rule]):
                 failed = np.zeros(len(s), dtype=bool)
                 for rule in BASE:
                     failed |= rule.rejects(s)
-                kept = ~failed & survivors(s, own)
+                kept = np.zeros(len(s), dtype=bool)
+                kept[~failed] = survivors(s.only(~failed), own)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), *(pa.array(getattr(s, c), pa.int64()) for c in _COUNTS), pa.array(failed), pa.array(kept)],
                     names=["id", *_COUNTS, "base_failed", "kept"],
@@ -222,7 +300,7 @@ def _judge_batches(own: list[Rule]):
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, statistics of the base rules, base_failed, kept): one row for each row of `docs`."""
     ship(docs.sparkSession)
-    own = plan(docs, OWN, text_col, sample_rows)
+    own = plan(docs, OWN, BASE, text_col, sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"{c} long" for c in _COUNTS)
     return rows.mapInArrow(_judge_batches(own), f"id {dict(rows.dtypes)['id']}, {counts}, base_failed boolean, kept boolean").withColumnRenamed("id", id_col)
@@ -240,5 +318,5 @@ def _keep_batches(rules: list[Rule], position: int):
 def keep(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that pass all rules, with all their columns."""
     ship(docs.sparkSession)
-    rules = plan(docs, BASE + OWN, text_col, sample_rows)
+    rules = plan(docs, BASE + OWN, (), text_col, sample_rows)
     return docs.mapInArrow(_keep_batches(rules, docs.columns.index(text_col)), docs.schema)
