@@ -15,9 +15,7 @@ from treesift.llm._text import chunks
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(T.public_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(T.public_path())
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +76,8 @@ def test_round_trip(spark, tokenizer, encoding):
     path = _spark.fresh_path(spark, "test")
     T.write(df, path, encoding=encoding)
     want, at = [], 0
-    for doc, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, (r[1] or "").encode())):
+    hashed = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    for doc, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0], hashed[r[1]])):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, T.END_ID], "<u4")
         want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -109,3 +108,34 @@ def test_counts(spark, tokenizer):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in T.count_tokens(df).collect()}
     assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
+def test_special_tokens_in_a_text(tokenizer):
+    spec = open(T.public_path(), encoding="utf-8").read()
+    given = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>, b", "x  <|endoftext|>\n<|endoftext|> .", "<|endoftext|"]
+    plain = [tokenizer.encode(t, add_special_tokens=False).ids for t in given]
+    assert encode(T.Encoder(spec), given) == plain and 50256 in plain[0]
+    other = type(tokenizer).from_str(spec)
+    other.encode_special_tokens = True
+    assert encode(T.Encoder(spec, special_as_text=True), given) == [other.encode(t, add_special_tokens=False).ids for t in given]
+
+
+@pytest.mark.parametrize("values", [1, 5, 1000])
+def test_pieces_of_one_hash_are_told_apart(tokenizer, monkeypatch, values):
+    plain = T.span_hashes
+    monkeypatch.setattr(T, "span_hashes", lambda *x: plain(*x) % np.uint64(values))
+    given = [t or "" for t in texts()[:100]]
+    encoder = T.Encoder(open(T.public_path(), encoding="utf-8").read())
+    assert encode(encoder, given, 300) == [tokenizer.encode(t, add_special_tokens=False).ids for t in given]
+
+
+def test_one_id_spreads_over_files(spark):
+    df = spark.range(4000).selectExpr("cast(1 as long) AS doc_id", "concat('text ', id) AS text")
+    path, setting = _spark.fresh_path(spark, "test"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        T.write(df, path)
+    finally:
+        spark.conf.unset(setting)
+    sizes = [r["count"] for r in T.read(spark, path, "shard").groupBy("shard").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 3000

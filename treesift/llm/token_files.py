@@ -1,8 +1,9 @@
 """Token ids in Parquet files that allow selective reads.
 
-Every whole text is encoded with a public byte-level BPE tokenizer (`tokenizers`; strings of special
-tokens in a text are ordinary text, and none are added), and one end id is appended.  Documents are
-range-partitioned by id, sorted, and written as one file for each partition, in ascending order.
+Every whole text is encoded with a public byte-level BPE tokenizer (`tokenizers`, no special tokens
+added; the string of one in a text gets its id, as the plain call does, or with `special_as_text` the
+ids of ordinary text), and one end id is appended.  Documents are range-partitioned by id and hash of
+the text, sorted, and written as one file for each partition, in ascending order of ids.
 
 File format: one row for each document with doc_id, shard (number of the file in order), first (ids
 before it in the shard), n_tokens, and ids, a list of 32-bit integers.  Ids are dictionary-encoded (or
@@ -10,12 +11,13 @@ delta-encoded, `encoding="delta"`), the other columns delta-encoded, all compres
 groups have about `ROW_GROUP_BYTES`, pages at most `PAGE_ROWS` rows, and page indexes are written, so a
 reader of a few documents, or of the metadata alone, fetches only their pages.
 
-Encoding is by pieces between which no token of the tokenizer can reach.  A chunk's pieces are told
-apart by a 64-bit hash and their length; each distinct one is encoded once and kept in a cache of
-`CACHE_PIECES` entries for each worker.
+Encoding is by pieces between which no token of the tokenizer can reach.  Each distinct piece is encoded
+once and kept in a cache of `CACHE_PIECES` entries for each worker.  Pieces are found by a 64-bit hash
+and compared byte by byte; a chunk with two pieces of one hash is encoded without the cache.
 
 Defined results: null is an empty text and has the end id alone; documents without id come first;
-documents with the same id are ordered by their text; an empty table gives files without rows.  Extra
+documents with the same id are ordered by the hash of their text, so that one id with any number of
+documents spreads over files; an empty table gives files without rows.  Extra
 columns are not read.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._spark import fresh_path, ship
-from ._text import chunks, span_hashes
+from ._text import chunks, same_spans, span_hashes, steps
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
@@ -92,14 +94,16 @@ def piece_starts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizer, each distinct piece once while it stays in the cache."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         line = self._ids(["\n"])[0]
         alone = self._ids(["a", " b", ",", ".c", "a\n b\n,\n.c"])
         self.line = int(line[0])
@@ -108,14 +112,16 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.first, self.count, self.pool = np.zeros(0, _U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        """`key` is sorted; by entry: place and number of ids in `pool`, place and number of bytes in `bytes`."""
+        self.key, self.pool, self.bytes = np.zeros(0, _U64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.first, self.count, self.at, self.size = (np.zeros(0, np.int64) for _ in range(4))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if self.joins and _JOINABLE.fullmatch(p)]
+        joined = [i for i, p in enumerate(pieces) if self.joins and _JOINABLE.fullmatch(p) and not (self.added and self.added.search(p))]
         for k in range(0, len(joined), 4096):
             part = joined[k : k + 4096]
             ids = self._ids(["\n".join([pieces[i] for i in part])])[0]
@@ -128,11 +134,11 @@ class Encoder:
             out[i] = x
         return out
 
-    def look_up(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cache entry of each piece of a chunk, number of pieces of each text)."""
+    def look_up(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(cache entry of each piece of a chunk, number of pieces of each text); None if a piece has another's hash."""
         start = piece_starts(body, at)
-        end = np.append(start[1:], len(body))
-        key, one, each = np.unique(span_hashes(body, start, end) + (end - start).astype(_U64), return_index=True, return_inverse=True)
+        size = np.append(start[1:], len(body)) - start
+        key, one, each = np.unique(span_hashes(body, start, start + size), return_index=True, return_inverse=True)
         entry = np.searchsorted(self.key, key)
         new = np.ones(len(key), dtype=bool)
         inside = entry < len(self.key)
@@ -141,26 +147,42 @@ class Encoder:
             if len(self.key) + new.sum() > CACHE_PIECES:
                 self._clear()
                 new[:] = True
-            raw = body.tobytes()
-            found = self._encode_pieces([raw[a:b].decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())])
+            raw, begin, n = body.tobytes(), start[one[new]], size[one[new]]
+            found = self._encode_pieces([raw[a : a + b].decode() for a, b in zip(begin.tolist(), n.tolist())])
             count = np.array([len(x) for x in found], np.int64)
-            first = len(self.pool) + np.cumsum(count) - count
+            first, place = len(self.pool) + np.cumsum(count) - count, len(self.bytes) + np.cumsum(n) - n
             order = np.argsort(np.concatenate([self.key, key[new]]), kind="stable")
-            self.key, self.first, self.count = (np.concatenate(x)[order] for x in ((self.key, key[new]), (self.first, first), (self.count, count)))
+            grown = ((self.key, key[new]), (self.first, first), (self.count, count), (self.at, place), (self.size, n))
+            self.key, self.first, self.count, self.at, self.size = (np.concatenate(x)[order] for x in grown)
             self.pool = np.concatenate([self.pool, *found])
+            self.bytes = np.concatenate([self.bytes, body[np.repeat(begin, n) + steps(n)]])
             entry = np.searchsorted(self.key, key)
-        pieces = np.diff(np.searchsorted(start, at))
-        return entry[each], pieces
+        entry = entry[each]
+        if (self.size[entry] != size).any() or not same_spans(self.bytes, self.at[entry], body, start, size).all():
+            return None
+        return entry, np.diff(np.searchsorted(start, at))
+
+    def _whole(self, body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        raw = body.tobytes()
+        return self._ids([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
 
     def counts(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The number of ids of each text of a chunk."""
-        entry, pieces = self.look_up(body, at)
+        found = self.look_up(body, at)
+        if found is None:
+            return np.array([len(x) for x in self._whole(body, at)], np.int64)
+        entry, pieces = found
         total = np.append(0, np.cumsum(self.count[entry]))
         return np.diff(total[np.append(0, np.cumsum(pieces))])
 
     def encode(self, body: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a chunk, each with the end id after it; number of ids of each)."""
-        entry, pieces = self.look_up(body, at)
+        found = self.look_up(body, at)
+        if found is None:
+            ids = self._whole(body, at)
+            ends = [np.array([end_id], np.int32)] * len(ids)
+            return np.concatenate([x for pair in zip(ids, ends) for x in pair]), np.array([len(x) + 1 for x in ids], np.int64)
+        entry, pieces = found
         count = self.count[entry]
         before = np.cumsum(count) - count
         text = np.repeat(np.arange(len(pieces)), pieces)
@@ -172,14 +194,14 @@ class Encoder:
         return out, size
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, bool], Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, special_as_text: bool) -> Encoder:
     """One encoder, with its cache, for each worker process."""
-    key = zlib.crc32(shared.value.encode())
+    key = zlib.crc32(shared.value.encode()), special_as_text
     if key not in _encoders:
-        _encoders[key] = Encoder(shared.value)
+        _encoders[key] = Encoder(shared.value, special_as_text)
     return _encoders[key]
 
 
@@ -188,31 +210,32 @@ def _spec(spark: SparkSession, tokenizer: str | None):
         return spark.sparkContext.broadcast(f.read())  # the vocabulary file, a few MB whatever the input
 
 
-def _count_batches(shared, end: int):
+def _count_batches(shared, end: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared, special_as_text)
         for batch in batches:
-            found = [_encoder(shared).counts(body, at) for _, _, body, at in chunks(batch.column(1))]
+            found = [encoder.counts(body, at) for _, _, body, at in chunks(batch.column(1))]
             counts = np.concatenate(found) + end if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = 1) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = 1, special_as_text: bool = False) -> DataFrame:
     """(doc_id, n_tokens): the number of ids of each text, with `end` more for the end."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_count_batches(_spec(docs.sparkSession, tokenizer), end), "doc_id long, n_tokens long")
+    return rows.mapInArrow(_count_batches(_spec(docs.sparkSession, tokenizer), end, special_as_text), "doc_id long, n_tokens long")
 
 
-def _row_batches(shared, end_id: int):
+def _row_batches(shared, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, first = TaskContext.get().partitionId(), 0
+        shard, first, encoder = TaskContext.get().partitionId(), 0, _encoder(shared, special_as_text)
         for batch in batches:
             for lo, hi, body, at in chunks(batch.column(1)):
-                ids, size = _encoder(shared).encode(body, at, end_id)
+                ids, size = encoder.encode(body, at, end_id)
                 ends = np.append(0, np.cumsum(size))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, shard), pa.int32()), pa.array(first + ends[:-1], pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
@@ -223,12 +246,13 @@ def _row_batches(shared, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS, special_as_text: bool = False) -> None:
     """Encodes `docs` and writes the files to `path`, a folder that all executors share."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    out = rows.mapInArrow(_row_batches(_spec(docs.sparkSession, tokenizer), end_id), SCHEMA).write.mode("error")
+    # ranges are drawn from samples of the keys, which hold no texts
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    out = rows.mapInArrow(_row_batches(_spec(docs.sparkSession, tokenizer), end_id, special_as_text), SCHEMA).write.mode("error")
     options = {
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",
