@@ -60,6 +60,60 @@ def test_gradients_match_differences():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def plain_score(text, model):
+    """The score of a text, passage by passage and unit by unit."""
+    words = text.split()
+    passages = [" ".join(words[i : i + M.PASSAGE]) for i in range(0, max(len(words), 1), M.PASSAGE)]
+    x, _ = M.passages(*utf8(pa.array([text], pa.large_string())))
+    assert len(x) == len(passages)
+    w, hidden, gate = model.weights, [], []
+    for row in (x - model.mean) / model.scale:
+        h = [np.tanh(sum(row[i] * w["E"][i, j] for i in range(M.FEATURES)) + w["e"][j]) for j in range(M.HIDDEN)]
+        t = [np.tanh(sum(h[i] * w["V"][i, j] for i in range(M.HIDDEN)) + w["v"][j]) for j in range(M.GATE)]
+        s = [1 / (1 + np.exp(-(sum(h[i] * w["U"][i, j] for i in range(M.HIDDEN)) + w["u"][j]))) for j in range(M.GATE)]
+        hidden.append(h)
+        gate.append(np.exp(sum(a * b * c for a, b, c in zip(t, s, w["a"]))))
+    z = [sum(g * h[j] for g, h in zip(gate, hidden)) / sum(gate) for j in range(M.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, w["c"])) + w["b"])))
+
+
+def test_scores_against_a_plain_scorer():
+    rows = corpus(40, seed=2)
+    body, at = utf8(pa.array([t for _, t, _ in rows], pa.large_string()))
+    x, bags = M.passages(body, at)
+    model = M.train(x, bags, np.array([q for _, _, q in rows], float), epochs=2)
+    asked = [t for _, t, _ in rows[:6]] + ["", "one word"]
+    got = model.scores(*utf8(pa.array(asked, pa.large_string())))
+    assert got == pytest.approx([plain_score(t, model) for t in asked], abs=1e-5)
+
+
+def test_passages_by_a_plain_count():
+    text = "Aa bb 12, ! ## é\n" * 20
+    x, bags = M.passages(*utf8(pa.array([text], pa.large_string())))
+    words = text.split()
+    assert bags.tolist() == [-(-len(words) // M.PASSAGE)]
+    for row, i in zip(x, range(0, len(words), M.PASSAGE)):
+        own = words[i : i + M.PASSAGE]
+        assert row[len(M._KINDS) + 0] == pytest.approx(np.mean([min(len(w.encode()), 40) / 10 for w in own]), abs=1e-6)
+        assert row[len(M._KINDS) + 2] == pytest.approx(np.mean([len(w.encode()) == 1 for w in own]), abs=1e-6)
+
+
+def test_the_sample_is_bounded_by_texts_and_passages(spark):
+    from pyspark.sql import functions as F
+
+    docs, _ = frames(spark, [(i % 2, f"text number {i}", 0) for i in range(3000)])
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    assert M.sample(docs, labels, "quality", F.lit(True), "doc_id", "text", 2).count() == 2
+    assert M.sample(docs.unionByName(docs), labels, "quality", F.lit(True), "doc_id", "text", 10**6).count() == 3000
+    long = docs.unionByName(spark.createDataFrame([(2, "w " * 64 * 50, "s")], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(2, 1)], labels.schema))
+    rows = M.sample(long, labels, "quality", F.lit(True), "doc_id", "text", 10**6).mapInArrow(M._passage_batches, "h long, label int, x binary")
+    batches = [b for b in rows.where("length(x) > 0").toArrow().to_batches()]
+    whole = M._train_batches(10**6)(iter(batches))
+    assert next(whole).num_rows == 1
+    assert M.fit(long, labels, max_passages=0).constant == 0.0
+
+
 def test_attention_weights_are_shares_of_each_document():
     rng = np.random.default_rng(0)
     rows = corpus(40)

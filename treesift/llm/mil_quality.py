@@ -7,18 +7,22 @@ tanh layer.  Gated attention (tanh times sigmoid) weighs the passages of a docum
 represents it, and a logistic unit scores that.  Encoder, attention and scorer are trained together,
 from document labels alone, by Adam on mini-batches of whole documents.
 
-Labels are learned from a bounded sample: the `MAX_DOCS` labelled documents that come first by hash of
-the id.  Their passages are described on the executors.  All documents are scored, whole.
+Labels are learned from a bounded sample: of the labelled documents' distinct texts the `MAX_DOCS` that
+come first by hash of the id, and of these as many, in that order, as have `MAX_PASSAGES` passages
+together (a longer text is left out, never cut).  Their passages are described on the executors, and one
+task trains on them; the driver gets the model alone.  All documents are scored, whole.
 
 Defined results: a null or empty text is a bag of one passage without words; a label that is null is
 none, and a document with several labels has the largest; without labelled documents of both classes
-every score is the share of positive labels (0 without any).  Repeated rows score alike; ids that are
-null are scored and never learned from.  Extra columns are not read.  Training is seeded, so the same
-sample gives the same model.
+every score is the share of positive labels (0 without any).  Repeated rows score alike, and rows of a
+labelled id with the same text are learned from once, with different texts once each; ids that are null
+are scored and never learned from.  Extra columns are not read.  Training is seeded, so the same sample
+gives the same model.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +34,7 @@ from ._spark import cut, ship
 from ._text import NON_SPACE, Words, chunks, grams, mix
 from .kneser_ney import fold, score  # noqa: F401  (the scoring pass is the same)
 
-MAX_DOCS = 4000
+MAX_DOCS, MAX_PASSAGES = 4000, 200_000
 PASSAGE = 64
 HASHED = 64
 HIDDEN, GATE = 24, 12
@@ -191,19 +195,48 @@ def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("h").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["h", "label", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", learn: F.Column | None = None, max_docs: int = MAX_DOCS) -> Model:
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, learned: F.Column, id_col: str, text_col: str, max_docs: int) -> DataFrame:
+    """(h, label, text): the bounded sample of labelled texts."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learned).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
+    ids = known.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("h", F.xxhash64(id_col)).orderBy("h", id_col).limit(max_docs)
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
+    # at most max_docs short rows are broadcast; an id may have many rows, so the bound holds for texts too
+    texts = cut(texts.join(F.broadcast(cut(ids)), id_col).select("h", "label", F.xxhash64("text").alias("key"), "text"))
+    keys = cut(texts.select("h", "label", "key").distinct().orderBy("h", "label", "key").limit(max_docs))
+    one = texts.join(F.broadcast(keys), ["h", "label", "key"], "left_semi").groupBy("h", "label", "key").agg(F.min("text").alias("text"))
+    return one.select("h", "label", "text")
+
+
+def _train_batches(max_passages: int):
+    """The model of all rows (h, label, passages), as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x, n = [], [], 0
+        for batch in batches:
+            for label, packed in zip(batch.column("label").to_pylist(), batch.column("x")):
+                own = np.frombuffer(packed.as_buffer(), np.float32).reshape(-1, FEATURES)
+                if n + len(own) <= max_passages:
+                    n += len(own)
+                    y.append(float(label))
+                    x.append(own.copy())
+        if len(set(y)) < 2:
+            zero = np.zeros(FEATURES)
+            model = Model(zero, zero + 1, {}, sum(y) / max(1, len(y)))
+        else:
+            bags = np.array([len(b) for b in x])
+            model = train(np.concatenate(x), bags, np.array(y))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", learn: F.Column | None = None, max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> Model:
     """The model learned from the labelled documents for which `learn` (over the id) holds."""
     ship(docs.sparkSession)
-    learn = F.lit(True) if learn is None else learn
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    ids = known.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("h", F.xxhash64(id_col)).orderBy("h", id_col).limit(max_docs)
-    ids = cut(ids)  # at most max_docs short rows, which are broadcast
-    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col)
-    rows = texts.select("h", "label", "text").mapInArrow(_passage_batches, "h long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r.h, r.label, bytes(r.x)))  # the order of training does not depend on that of arrival
-    y = np.array([r.label for r in rows], np.float64)
-    if len(np.unique(y)) < 2:
-        zero = np.zeros(FEATURES)
-        return Model(zero, zero + 1, {}, float(y.mean()) if len(y) else 0.0)
-    x = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
-    return train(np.concatenate(x), np.array([len(b) for b in x]), y)
+    learned = F.lit(True) if learn is None else learn
+    texts = sample(docs, labels, label_col, learned, id_col, text_col, max_docs)
+    rows = texts.mapInArrow(_passage_batches, "h long, label int, x binary")
+    # one task, whose input is bounded by the sample; sorted, so training does not depend on the order of arrival
+    made = rows.repartition(1).sortWithinPartitions("h", "label", "x").mapInArrow(_train_batches(max_passages), "model binary").first()
+    zero = np.zeros(FEATURES)
+    return pickle.loads(made[0]) if made else Model(zero, zero + 1, {}, 0.0)
