@@ -1,3 +1,7 @@
+import html
+import random
+from html.parser import HTMLParser
+
 import pytest
 
 from treesift.llm import html_blocks as H
@@ -56,3 +60,128 @@ def test_query_columns_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(map(tuple, H.extract(df).collect()), key=repr) == sorted([(1, "u", "é", 1)] * 2 + [(None, None, "", 0)], key=repr)
     assert H.extract(df.limit(0)).count() == 0
+
+
+PROSE = "The paper shows many things in some words and goes on for a while until it ends here."
+
+
+def test_names_are_outvoted_by_words_and_links():
+    inner = f"<h1>T</h1><p>{PROSE}</p><section class='related-work'><h2>Related work</h2><p>{PROSE}</p></section><p class=legal>{PROSE}</p><figure><img><figcaption class='banner-image'>A caption</figcaption></figure><div class=side-note><p>A note.</p></div><p>{PROSE}</p>"
+    want = f"T {PROSE} Related work {PROSE} {PROSE} A caption A note. {PROSE}"
+    assert H.main_text(f"{FURNITURE}<article>{inner}</article>{AFTER}") == want
+    links = "<div class=related-posts><ul><li><a>One more story</a><li><a>Another story</a></ul></div><div class=social>Share it</div><section class=comments><p>No, not at all, and I have many words to say about it all.</p></section>"
+    assert H.main_text(f"{FURNITURE}<article>{inner}{links}</article>{AFTER}") == want
+
+
+def test_elements_with_visible_text():
+    inner = "<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold.</p><object data=x><p>In <b>place</b></p></object><p>See <svg><title>no</title><text>Fig.</text></svg></p>"
+    assert H.main_text(f"{FURNITURE}<article>{inner}</article>{AFTER}") == "Let x=2 hold. In place See Fig."
+
+
+@pytest.mark.parametrize("size", [10, 4_000, 4_090, 4_095, 4_200, 100_000])
+def test_attributes_of_any_length(size):
+    page = f"<article><p data-x=\"a>b\" {'z' * size} title='c>d'>text</p><p>next</p></article>"
+    assert H.main_text(page) == "text next"
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    body = "".join(f"<p>Paragraph {i} of a long page &amp; its text.</p>" for i in range(40_000))
+    assert H.main_text(f"<article>{body}</article>").startswith("Paragraph 0 of a long page & its text. Paragraph 1")
+    for page in ('<a x="' * 100_000 + ">", "<article>" + "<a x=\">' " * 50_000, "<p " * 100_000 + ">", "<article>" + "<p x='\">" * 50_000, '<a b="></a c=\'>' * 30_000, "<" * 200_000):
+        H.main_text(page)
+    assert time.time() - began < 30
+
+
+def test_random_pages_of_known_text():
+    """Pages put together from blocks whose text and label are known."""
+    rng = random.Random(5)
+    words = "über & so < many > words of 'every' \"kind\" ½ naïve".split()
+
+    def block(n):
+        """(markup, text) of some inline content."""
+        out = [rng.choice(words) for _ in range(n)]
+        text, markup = " ".join(out), []
+        for w in out:
+            w = html.escape(w) if rng.random() < 0.7 else "".join(f"&#{ord(c)};" for c in w)
+            markup.append(rng.choice(("{}", "<b>{}</b>", "<a href='x>y'>{}</a>", "<span title=\"a>b\">{}</span>", "{}<!-- no -->", "{}<script>if (a<b) '</p>'</script>")).format(w) if rng.random() < 0.2 else w)
+        return rng.choice((" ", "\n ", "\t", "&nbsp;", "<br>")).join(markup), text
+
+    for _ in range(60):
+        body, want = [], []
+        for _ in range(rng.randrange(1, 9)):
+            markup, text = block(rng.randrange(4, 60))
+            body.append(rng.choice(("<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<h2>{}</h2>", "<section class=background><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>")).format(markup))
+            want.append(text)
+            if rng.random() < 0.4:
+                body.append(rng.choice(("<div class='ad'>{}</div>", "<aside><p>{}</p></aside>", "<nav><a>{}</a></nav>", "<form><p>{}</p></form>", "<footer>{}</footer>", "<div class=comments><p>{}</p></div>", "<div hidden>{}</div>")).format(block(rng.randrange(1, 40))[0]))
+        assert H.main_text(f"{FURNITURE}<article>{''.join(body)}</article>{AFTER}") == " ".join(want)
+
+
+class PlainBlocks(HTMLParser):
+    """A second cutter of blocks, over the standard parser, for pages whose tags are all closed."""
+
+    BREAK = {"p", "div", "ul", "li", "nav", "aside", "article", "section", "h1", "h2", "footer", "header", "table", "tr", "td", "br", "main"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.found, self.text, self.linked, self.links, self.skip = [], "", "", 0, 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if self.text.split():
+            self.found.append((" ".join(self.text.split()), len(self.text.split()), min(len(self.linked.split()), len(self.text.split()))))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skip += 1
+        elif tag == "a":
+            self.links += 1
+        elif tag in self.BREAK:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip -= 1
+        elif tag == "a":
+            self.links -= 1
+        elif tag in self.BREAK:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text += data
+            self.linked += f" {data} " if self.links else ""
+
+
+def test_blocks_against_the_standard_parser():
+    rng = random.Random(6)
+
+    def element(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.random()
+            if kind < 0.5 or not depth:
+                out += rng.choice((" ", "\n")) + " ".join(rng.choice(("a", "b&amp;c", "é", "x &lt; y", "12")) for _ in range(rng.randrange(6))) + " "
+            elif kind < 0.7:
+                tag = rng.choice(("b", "i", "span", "em", "code"))
+                out += f"<{tag}>w{rng.randrange(9)}</{tag}>"
+            elif kind < 0.8:
+                out += f"<a href='u?a>b'>link {rng.randrange(9)}</a>"
+            elif kind < 0.85:
+                out += "<script>var x = '<p>';</script>"
+            elif kind < 0.9:
+                out += "<br>"
+            else:
+                tag = rng.choice(("div", "section", "article", "ul", "td", "h1", "aside"))
+                out += f"<{tag}>{element(depth - 1)}</{tag}>"
+        return out
+
+    for _ in range(300):
+        page = f"<div>{element(4)}</div><p>{element(0)}</p>"
+        assert [(b.text, b.words, b.link_words) for b in H.blocks(page)] == PlainBlocks(page).found, page
