@@ -54,7 +54,7 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN s USING (rid)
 
 
 def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_linking.link(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return quote_linking.link(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), ordered=False)
 
 
 OP1_SQL = r"""
@@ -79,22 +79,24 @@ WITH RECURSIVE m AS MATERIALIZED (
 ), lx AS (
   SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS run FROM lr
 ), qp AS (
-  SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY pos) AS passage
+  SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY pos) AS passage, list(body ORDER BY pos) AS lines
   FROM lx WHERE level > 0 AND body <> '' GROUP BY rid, conv_id, turn, run, level
 ), op AS (
-  SELECT conv_id, turn, trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ') AS passage
-  FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(own, '\n[ \t\r]*\n', chr(1), 'g'), chr(1))) AS p
-        FROM bare WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL)
+  SELECT conv_id, turn, array_to_string(lines, ' ') AS passage, lines FROM (
+    SELECT conv_id, turn, list_filter(list_transform(string_split(p, chr(10)), lambda x:
+             trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines
+    FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(own, '\n[ \t\r]*\n', chr(1), 'g'), chr(1))) AS p
+          FROM bare WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL))
+  WHERE len(lines) > 0
 ), qu AS (
   SELECT conv_id, turn, level, 0 AS part, passage AS unit FROM qp
-  UNION SELECT conv_id, turn, level, 1, s
+  UNION SELECT conv_id, turn, level, 2, unnest(lines) FROM qp
+  UNION SELECT conv_id, turn, level, CASE WHEN len(string_split(s, ' ')) >= 4 THEN 1 ELSE 3 END, s
   FROM (SELECT conv_id, turn, level, unnest(string_split(regexp_replace(passage, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS s FROM qp)
-  WHERE len(string_split(s, ' ')) >= 4
 ), ou AS (
-  SELECT conv_id, turn, passage AS unit FROM op WHERE passage <> ''
-  UNION SELECT conv_id, turn, s
-  FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(passage, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS s FROM op)
-  WHERE len(string_split(s, ' ')) >= 4
+  SELECT conv_id, turn, passage AS unit FROM op
+  UNION SELECT conv_id, turn, unnest(lines) FROM op
+  UNION SELECT conv_id, turn, unnest(string_split(regexp_replace(passage, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) FROM op
 ), o AS (
   SELECT conv_id, unit, min(turn) AS original FROM ou GROUP BY ALL
 ), r AS (
