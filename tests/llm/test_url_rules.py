@@ -58,3 +58,11 @@ def test_empty_tables(spark):
 def test_very_long_url(spark):
     rows = [(1, "http://" + "a." * 20_000 + "net/es/" + "x" * 100_000)]
     assert run(spark, rows, U.RULES) == brute(rows, U.RULES)
+
+
+def test_rule_table_and_many_equal_rows(spark):
+    assert sorted(map(tuple, U.rule_table(spark, U.RULES).collect())) == sorted(U.RULES)
+    assert U.judge(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), U.rule_table(spark, [])).first().rule is None
+    rows = spark.range(5000).selectExpr("cast(null AS long) AS page_id", "'http://a.net/fr/' AS url")
+    got = U.judge(rows, U.rule_table(spark, U.RULES)).groupBy("page_id", "rule", "verdict").count().collect()
+    assert [tuple(r) for r in got] == [(None, "net/fr/", "block", 5000)]

@@ -10,8 +10,9 @@ Rules and URLs of a reversed host are sorted together by path; each rule carries
 rules whose intervals contain it, so the stack in force at a URL is that of the last rule before it,
 without those whose interval has ended, and its deepest remaining entry is the answer.
 
-A host with more URLs than a fair share of a task (and than `LEAST_ROWS`) is dealt in parts of that
-size, each with all rules of that host; no group grows with the input.  The rules need not be small:
+Each distinct URL is looked up once.  A host with more of them than a fair share of a task (and than
+`LEAST_ROWS`) is dealt in parts of that size, each with all rules of that host; no group grows with the
+input.  The rules need not be small:
 they are joined and swept like the URLs.
 
 Defined results: a null url, or one without `://`, has empty host and path, and so no rule.  Equal
@@ -37,7 +38,9 @@ RULES = [
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    row = lambda r: F.struct(*(F.lit(x).cast("string").alias(c) for x, c in zip(r, ("host", "path", "verdict"))))
+    found = F.array(*map(row, rules)) if rules else F.lit(None).cast("array<struct<host:string,path:string,verdict:string>>")
+    return spark.range(1).select(F.inline(found))
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -61,7 +64,8 @@ def _stacks(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", least_rows: int = LEAST_ROWS) -> DataFrame:
     """(id, host, path, rule, verdict): one row for each row of `pages`."""
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path")).groupBy(id_col, "host", "path").agg(F.count("*").alias("copies"))
+    every = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    urls = every.select("host", "path").distinct()
 
     rules = (
         rules.where("host is not null and path is not null")
@@ -80,7 +84,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     )
     points = (
         urls.where((F.col("path") != "") | (F.col("host") != ""))
-        .select(id_col, "host", "path", F.explode(suffixes).alias("key"))
+        .select("host", "path", F.explode(suffixes).alias("key"))
         .join(hosts.select("key"), "key", "left_semi")
         if deepest
         else urls.limit(0).withColumn("key", F.lit(""))
@@ -89,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(least_rows, (counts.agg(F.sum("count")).first()[0] or 0) // tasks)
     hot = counts.where(F.col("count") > share).select("key", F.ceil(F.col("count") / share).cast("int").alias("parts"))
-    points = points.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(id_col, "host", "path"), F.col("parts")).cast("int"), F.lit(0)))
+    points = points.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int"), F.lit(0)))
     starts = (
         _stacks(rules)
         .join(hot, "key", "left")
@@ -97,14 +101,14 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     )
 
     sweep = Window.partitionBy("key", "part").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = points.select(id_col, "host", "path", "key", "part", F.lit(1).alias("kind")).unionByName(
+    events = points.select("host", "path", "key", "part", F.lit(1).alias("kind")).unionByName(
         starts.select("path", "key", "part", "stack", F.lit(0).alias("kind")), allowMissingColumns=True
     )
     swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     deep = F.get(F.filter("stack", lambda r: F.col("path").startswith(r["path"])), 0)
     found = swept.withColumn("deep", deep).where("deep is not null")
     fits = F.array_join(F.reverse(F.split("key", r"\.")), ".")
-    best = found.groupBy(F.col(id_col).alias("b_id"), F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(
+    best = found.groupBy("host", "path").agg(
         F.max(
             F.struct(
                 (F.length("key") + F.col("deep.n")).alias("n"),
@@ -114,7 +118,6 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             )
         ).alias("best")
     )
-    same = F.col(id_col).eqNullSafe(F.col("b_id")) & (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path"))
+    # the rows that share a URL join one row; a hot URL's are split by the adaptive skew join
     verdict = F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
-    return urls.join(best, same, "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), verdict, copies).drop("copy")
+    return every.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), verdict)
