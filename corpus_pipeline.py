@@ -7,7 +7,14 @@
 5. best-fit packing: the place of every piece of what is left.
 
 Every stage is written as Parquet and read again before the next one, so a lost executor repeats at
-most one stage.  All but the last keep the columns of `documents`.
+most one stage.  All but the last keep the columns of `documents`, whatever further ones there are.
+
+Defined results: a null or empty text goes in stage 1, as too short.  Very long texts are judged whole in
+every stage and packed in pieces.  A document without label is scored like any other; without labels of
+both classes stage 2 keeps all (or none, if all that are labelled are toxic).  Of rows with the same id
+and text one stays, and so of any near copies; rows without id, or with an id that others have, are
+compared by their texts, and those that stay are packed each for itself.  Benchmark rows without text
+change nothing, those without id count.  An empty table gives no rows, an empty benchmark drops none.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -13,7 +14,8 @@ def one_by_one(lengths, least, capacities, cost):
         fits = [b for b in bins if b[0] >= n]
         best = min(fits, key=lambda b: (b[0], -b[1]), default=None)
         if best is None:
-            best = [next(c for c in capacities if c >= max(n, least)), 0]
+            band = next(i for i, c in enumerate(capacities) if c >= n)
+            best = [max(capacities[band], least[band] if isinstance(least, tuple) else least), 0]
             bins.append(best)
         best[0], best[1] = best[0] - n, best[1] + n
     held = sorted(b[1] for b in bins)
@@ -30,7 +32,12 @@ def test_plan_equals_best_fit_one_by_one(seed):
         got = B.best_fit(Counter(lengths), least, capacities, B.default_cost)
         assert sorted(h for _, n, h, _ in got.groups.tolist() for _ in range(n)) == held and got.cost == cost
         costs.append(cost)
-    assert B.plan(Counter(lengths), capacities).cost == min(costs)
+    # the sizes may differ by band: no dearer than any one size, and a plan that one by one makes
+    sizes = [tuple(max(c, x) for c, x in zip(capacities, ways)) for ways in itertools.product(capacities, repeat=3)]
+    every = {x: one_by_one(lengths, x, capacities, B.default_cost) for x in sizes}
+    got = B.plan(Counter(lengths), capacities)
+    assert min(cost for _, cost in every.values()) <= got.cost <= min(costs)
+    assert (sorted(h for _, n, h, _ in got.groups.tolist() for _ in range(n)), got.cost) in every.values()
 
 
 def check(rows, capacities, given):

@@ -2,10 +2,14 @@
 
 A document's length is its number of tokens with the end id.  One longer than the largest capacity is
 cut into pieces of that length and a rest.  Pieces are packed in decreasing length, each into the open
-bin with the least room that holds it (of equal ones the fullest); if none does, a bin is opened.  Which size is opened is decided
-jointly: for each permitted size as the least to open (the smallest is the least-cost bin that holds
-the piece) the whole packing is planned, bins are then downsized to the smallest permitted size that
-holds their contents, and the plan of the least total cost is taken.
+bin with the least room that holds it (of equal ones the fullest); if none does, a bin is opened.  In the
+end bins are downsized to the smallest permitted size that holds their contents.
+
+Which size is opened is decided jointly.  Pieces are in bands by the smallest permitted size that holds
+them, and each band has the size that it opens.  The whole packing is planned with one size for all
+bands (or the smallest that holds the piece), for each size; from the cheapest of these the bands' sizes
+are changed one at a time, each to the one of the least total cost, until no change saves anything (or
+`ROUNDS` times).
 
 Pieces of equal length are alike, so the plan is made from the histogram of lengths, which has no more
 entries than the largest capacity has tokens however many documents there are.  Bins of equal contents
@@ -36,6 +40,7 @@ from ._spark import cut, ship
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
+ROUNDS = 3
 
 
 def default_cost(capacity: int) -> float:
@@ -51,8 +56,9 @@ class Plan:
     cost: float
 
 
-def best_fit(histogram: dict[int, int], least: int, capacities: tuple[int, ...], cost: Callable[[int], float]) -> Plan:
-    """Best-fit decreasing, opening bins of size `least` or the smallest larger one that holds the piece."""
+def best_fit(histogram: dict[int, int], least: int | tuple[int, ...], capacities: tuple[int, ...], cost: Callable[[int], float]) -> Plan:
+    """Best-fit decreasing, opening bins of size `least` (or `least` of the piece's band) or the smallest larger one that holds the piece."""
+    opens = {c: max(c, x) for c, x in zip(capacities, least if isinstance(least, tuple) else [least] * len(capacities))}
     room: dict[int, list[tuple[int, int, int]]] = {}  # room left -> (first bin, bins, contents)
     rooms: list[int] = []  # keys of `room`, sorted
     steps, done, bins = [], [], 0
@@ -71,7 +77,7 @@ def best_fit(histogram: dict[int, int], least: int, capacities: tuple[int, ...],
         while todo:
             i = bisect.bisect_left(rooms, length)
             if i == len(rooms):
-                size = next(c for c in capacities if c >= max(length, least))
+                size = opens[next(c for c in capacities if c >= length)]
                 opened = -(-todo // (size // length))
                 put(size, (bins, opened, 0))
                 bins += opened
@@ -101,9 +107,25 @@ def best_fit(histogram: dict[int, int], least: int, capacities: tuple[int, ...],
 
 
 def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = default_cost) -> Plan:
-    """The least costly of the packings for each size as the least to open."""
+    """The least costly packing found over the sizes that the bands of lengths open."""
     capacities = tuple(sorted(capacities))
-    return min((best_fit(histogram, c, capacities, cost) for c in capacities), key=lambda p: p.cost)
+    tried: dict[tuple[int, ...], Plan] = {}
+
+    def made(sizes: tuple[int, ...]) -> Plan:
+        sizes = tuple(max(c, x) for c, x in zip(capacities, sizes))
+        if sizes not in tried:
+            tried[sizes] = best_fit(histogram, sizes, capacities, cost)
+        return tried[sizes]
+
+    best = min(((c,) * len(capacities) for c in capacities), key=lambda x: made(x).cost)
+    for _ in range(ROUNDS):
+        before = best
+        for band in range(len(capacities) - 1):
+            ways = (best, *(best[:band] + (c,) + best[band + 1 :] for c in capacities[band:]))
+            best = min(ways, key=lambda x: made(x).cost)
+        if best == before:
+            break
+    return made(best)
 
 
 def _place_batches(shared):
@@ -146,7 +168,9 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Cal
     pieces = pieces.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest))).alias("piece"))
     pieces = cut(pieces.select("doc_id", "piece", F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * largest).alias("length")))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    # rows without id are told apart by their place, so that any number of them is no single group
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", place), F.lit(parts)))
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if not histogram:
