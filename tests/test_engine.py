@@ -208,9 +208,9 @@ def test_snapshots(spark, entries, tmp_path):
     assert find(loaded, "data") == [] and find(loaded, "report") == find(entries, "report")
     assert snapshot.must_rebuild(None, NOW) and not snapshot.must_rebuild(snapshot.read_manifest(spark, folder), NOW + 1000)
     assert snapshot.must_rebuild(snapshot.read_manifest(spark, folder), NOW + 4 * 86_400)
-    manifest = tmp_path / "s" / "manifest.json"
+    manifest = tmp_path / "s" / "manifest-1.json"
     good = manifest.read_text()
-    for damage in ("{", "{}", good.replace('"version": 1', '"version": 9'), good.replace('"generation": 1', '"generation": 7')):
+    for damage in ("{", "{}", good.replace('"version": 2', '"version": 9'), good.replace('"base_name": "base=1', '"base_name": "base=7')):
         manifest.write_text(damage)
         for crc in manifest.parent.glob(".manifest*.crc"):
             crc.unlink()

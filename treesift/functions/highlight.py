@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..plans.query import EXACT, FUZZY
+from ..sources.keep import ship
 
 SPANS = "array<struct<start:int,length:int>>"
 
@@ -46,6 +47,7 @@ def _occurrences(low: list[str], term: str) -> Iterator[tuple[int, int]]:
 
 def highlight(name: Column, query: str, mode: str = EXACT) -> Column:
     """The spans of each name as an array; none for pattern and regular-expression queries."""
+    ship()
 
     @F.pandas_udf(SPANS)
     def find(names: pd.Series) -> pd.Series:

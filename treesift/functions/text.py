@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.keep import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -67,11 +69,13 @@ def is_ascii(c: Column) -> Column:
 
 
 def nfc_column(c: Column) -> Column:
+    ship()
     return _nfc_udf(c)
 
 
 def unicode_fold(c: Column) -> Column:
     """The fold without accents; null for names in ASCII alone."""
+    ship()
     return F.when(~is_ascii(c), _fold_udf(F.when(~is_ascii(c), c)))
 
 

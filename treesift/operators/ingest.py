@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from ..sources.keep import keep
+from ..sources.keep import keep, small
 from ..sources.listing import FILE, FOLDER, ROOT
-from .tree import ancestors, depth_of, empty_folders, folder_totals, parent_of, repeated_names
+from .tree import ancestors, depth_of, parent_of, repeated_names
 
 
 def under(path: Column, folder: str) -> Column:
@@ -85,37 +85,44 @@ def enrich(listing: DataFrame) -> DataFrame:
 
 
 def ingest(listing: DataFrame) -> DataFrame:
-    """The `entries` table of a listing of files and folders; the folders above them are added."""
-    rows = keep(listing.select("path", "name", "size", "mtime_ns", "crtime_ns", "obj_type", "flags"))
-    above = rows.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().join(rows.select("path"), "path", "left_anti")
-    folders = above.select(
+    """The `entries` table of a listing of files and folders; the folders above them are added.
+
+    One pass over the ancestors of every row gives the totals of folders, which of them are empty, and
+    which are missing.  Partial sums are taken before the shuffle, so folders near the root are no hot
+    keys, and only folders are joined with their totals.
+    """
+    rows = keep(enrich(listing.select("path", "name", "size", "mtime_ns", "crtime_ns", "obj_type", "flags")))
+    above = keep(sums_above(rows.select("path", F.when(~F.col("is_dir"), F.col("size")).otherwise(0).alias("bytes"))))
+    there = rows.where("is_dir").select("path")
+    missing = keep(above.select("path").join(there, "path", "left_anti"))
+    files = rows.where("not is_dir").join(small(missing), "path", "left_semi").select("path")
+    folders = missing.join(files, "path", "left_anti").select(
         "path",
-        F.when(F.col("path") == ROOT, F.lit(ROOT)).otherwise(F.substring_index("path", "/", -1)).alias("name"),
+        F.when(F.col("path") == ROOT, F.lit(ROOT)).otherwise(F.substring_index(F.col("path"), "/", -1)).alias("name"),
         *(F.lit(0).cast("long").alias(c) for c in ("size", "mtime_ns", "crtime_ns")),
         F.lit(FOLDER).alias("obj_type"),
         F.lit(0).cast("long").alias("flags"),
     )
-    return with_tree(keep(enrich(rows.unionByName(folders))))
+    return with_tree(rows.unionByName(enrich(folders)), above)
+
 
+def sums_above(rows: DataFrame) -> DataFrame:
+    """(path, subtree_size): of every folder above one of the rows (path, bytes), the sum below it."""
+    up = rows.select(F.explode(ancestors(F.col("path"))).alias("path"), "bytes")
+    return up.groupBy("path").agg(F.sum("bytes").cast("long").alias("subtree_size"))
 
-def with_tree(entries: DataFrame) -> DataFrame:
+
+def with_tree(entries: DataFrame, above: DataFrame) -> DataFrame:
     """Adds the columns that depend on other entries: subtree_size, is_dupe, is_empty_dir.
 
-    The entries are used four times: give them kept, not as a long plan.
+    `above` are the sums of all live entries (`sums_above`): a folder that is not there has nothing below.
     """
-    totals, names, empty = folder_totals(entries), repeated_names(entries), empty_folders(entries)
-    return (
-        entries.join(totals, "path", "left")
-        .join(names.withColumn("is_dupe", F.lit(True)), "name_fold", "left")
-        .join(empty.withColumn("is_empty_dir", F.lit(True)), "path", "left")
-        .withColumns(
-            {
-                "subtree_size": F.when(F.col("is_dir"), F.coalesce("subtree_size", F.lit(0).cast("long"))),
-                "is_dupe": F.coalesce("is_dupe", F.lit(False)),
-                "is_empty_dir": F.coalesce("is_empty_dir", F.lit(False)),
-            }
-        )
-    )
+    folders = entries.where("is_dir").join(above, "path", "left")
+    folders = folders.withColumns({"is_empty_dir": F.col("subtree_size").isNull(), "subtree_size": F.coalesce("subtree_size", F.lit(0).cast("long"))})
+    files = entries.where("not is_dir").withColumns({"is_empty_dir": F.lit(False), "subtree_size": F.lit(None).cast("long")})
+    names = repeated_names(entries).withColumn("is_dupe", F.lit(True))
+    every = files.unionByName(folders).join(names, "name_fold", "left")
+    return every.withColumn("is_dupe", F.coalesce("is_dupe", F.lit(False)))
 
 
-__all__ = ["FILE", "enrich", "excluded", "glob_like", "ingest", "matches_any", "select_listing", "under", "with_tree"]
+__all__ = ["FILE", "enrich", "excluded", "glob_like", "ingest", "matches_any", "select_listing", "sums_above", "under", "with_tree"]

@@ -213,7 +213,7 @@ _over_entries("subtree_size", lambda e: tree.subtree_size(e, "/apps"), "SELECT c
 _over_entries("selection_total", lambda e: tree.selection_total(e.where("depth <= 3")), "SELECT coalesce(sum(size) FILTER (NOT is_dir), 0)::BIGINT AS total FROM entries WHERE depth <= 3")
 _over_entries("children_counts", tree.children, "SELECT parent_path, count(*) AS children FROM entries WHERE parent_path IS NOT NULL GROUP BY 1")
 _over_entries("name_counts", lambda e: e.groupBy("name_fold").agg(F.count("*").alias("n")), "SELECT name_fold, count(*) AS n FROM entries GROUP BY 1")
-_over_entries("crawl_stats", listings.crawl_stats, "SELECT count(*) FILTER (obj_type = 1) AS files, count(*) FILTER (obj_type = 2) AS folders, count(*) FILTER (obj_type = 5) AS links FROM entries")
+_over_entries("crawl_stats", listings.crawl_stats, "SELECT count(*) FILTER (obj_type = 1) AS files, count(*) FILTER (obj_type = 2) AS folders, count(*) FILTER (obj_type = 5) AS links, count(*) FILTER ((flags & 1099511627776) <> 0) AS errors FROM entries")
 _over_entries("match_total", lambda e: search(e, "report", now=NOW).matches.agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM entries WHERE {_name('report')}")
 _over_entries("names_kinds", lambda e: e.select("path", kind(F.col("obj_type"), F.col("name")).alias("kind"), shown_extension(F.col("name")).alias("shown"), F.coalesce("parent_path", "path").alias("folder")).where("folder <> '/x'"), "SELECT path, CASE WHEN obj_type = 5 THEN 'Alias' WHEN is_dir AND shown IN ('app', 'bundle', 'appex', 'plugin', 'kext', 'mlmodelc', 'xcodeproj', 'playground', 'docset', 'photoslibrary', 'musiclibrary', 'tvlibrary', 'fcpbundle') THEN 'Bundle' WHEN is_dir THEN 'Folder' WHEN shown = '' THEN 'Document' ELSE upper(shown) || ' file' END AS kind, shown, coalesce(parent_path, path) AS folder FROM (SELECT *, lower(regexp_extract(name, '^.+\\.([^./ ]+)$', 1)) AS shown FROM entries)".replace("\\\\", "\\"))
 _over_entries("highlight_spans", lambda e: e.select("path", highlight.highlight(F.col("name"), "report -x md").alias("spans")), None)

@@ -1,10 +1,40 @@
-"""Results that a plan uses more than once, computed once."""
+"""What the engine needs of a session: its code on the workers, kept results, and checked broadcasts."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Rows of keys that may be broadcast; more are joined by a shuffle.
+FEW = 1 << 17
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Sends this package to the Python workers, once for each application; Arrow functions need it there."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "treesift_engine.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    z.write(at, os.path.relpath(at, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
+def small(keys: DataFrame, at_most: int | None = None) -> DataFrame:
+    """The same rows, to be broadcast if they are at most `FEW`; give them kept, as they are counted unless `at_most` is known."""
+    if at_most is None or at_most > FEW:
+        at_most = keys.limit(FEW + 1).count()
+    return F.broadcast(keys) if at_most <= FEW else keys
 
 
 def shared_folder(spark: SparkSession) -> str:
