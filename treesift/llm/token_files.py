@@ -55,11 +55,16 @@ def _class(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
-_PRINTABLE = _class((0x21, 0x7E))
-_ALNUM = _class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
-_LEAD_TWO = _class((0xC3, 0xDF))  # of U+00C0 to U+07FF, none of them white space
-_LEAD_LETTER = _class((0xC3, 0xC9))  # of U+00C0 to U+027F, all of them letters but two
-_STOP = _class((0x2C, 0x2C), (0x2E, 0x2E))
+_WHITE, _LINE, _STOP, _SOLID, _LEAD_TWO, _LETTER, _LEAD_LETTER, _SIGN = (1 << i for i in range(8))
+_CLASSES = np.zeros(256, np.uint8)
+_CLASSES[0x20] |= _WHITE
+_CLASSES[0x0A] |= _LINE
+_CLASSES[[0x2C, 0x2E]] |= _STOP
+_CLASSES[_class((0x21, 0x7E))] |= _SOLID
+_CLASSES[_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))] |= _LETTER
+_CLASSES[_class((0xC3, 0xDF))] |= _LEAD_TWO  # of U+00C0 to U+07FF, none of them white space
+_CLASSES[_class((0xC3, 0xC9))] |= _LEAD_LETTER  # of U+00C0 to U+027F, all of them letters but two
+_CLASSES[[0x97, 0xB7]] |= _SIGN  # which are these after 0xC3
 _JOINABLE = re.compile(r" ?\S+")
 
 
@@ -71,24 +76,34 @@ def piece_starts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     Any other place may go uncut, which costs time alone.
     """
     n = len(body)
-    lead = np.zeros(n + 1, dtype=bool)  # the byte two before is the lead of a two-byte character
-    lead[2:] = _LEAD_TWO[body[:-1]]
-    solid = np.zeros(n + 1, dtype=bool)  # a character that is no white space ends before
-    solid[1:] = _PRINTABLE[body]
-    solid |= lead
-    follows = np.zeros(n + 1, dtype=bool)  # and one begins after
-    follows[: n - 1] = _PRINTABLE[body[1:]] | _LEAD_TWO[body[1:]]
-    letter = np.zeros(n + 1, dtype=bool)
-    letter[1:] = _ALNUM[body]
-    two = np.zeros(n + 1, dtype=bool)
-    two[2:] = _LEAD_LETTER[body[:-1]] & ~((body[:-1] == 0xC3) & ((body[1:] == 0x97) | (body[1:] == 0xB7)))
-    letter |= two
-    start = np.zeros(n + 1, dtype=bool)
-    line = (body == 0x0A) & solid[:-1] & follows[:-1]
-    start[:-1] = (body == 0x20) & solid[:-1] & follows[:-1] | line | _STOP[body] & letter[:-1]
-    start[1:] |= line
+    if not n:
+        return np.zeros(0, np.int64)
+    here = _CLASSES[body]
+    before, lead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # the byte before, and the one before that
+    before[1:], lead[2:] = here[:-1], here[:-2]
+    # a character that is surely no white space ends before; one begins after; a letter or digit ends before
+    solid = ((before & _SOLID) | (lead & _LEAD_TWO)) != 0
+    follows = np.zeros(n, dtype=bool)
+    follows[:-1] = (here[1:] & (_SOLID | _LEAD_TWO)) != 0
+    two = (lead & _LEAD_LETTER) != 0
+    two[2:] &= ~((body[:-2] == 0xC3) & ((before[2:] & _SIGN) != 0))
+    letter = ((before & _LETTER) != 0) | two
+    apart = solid & follows
+    line = ((here & _LINE) != 0) & apart
+    start = ((here & _WHITE) != 0) & apart | line | ((here & _STOP) != 0) & letter
+    start[1:] |= line[:-1]
     start[at[at < n]] = True
-    return np.flatnonzero(start[:-1])
+    return np.flatnonzero(start)
+
+
+def _eights(body: np.ndarray) -> np.ndarray:
+    """At each byte it and the seven after it (zeros after the end) as one number."""
+    padded = np.append(body, np.zeros(8, np.uint8))
+    return np.ndarray((len(body) + 1,), "<u8", padded.data, strides=(1,))
+
+
+#: By number of bytes: which of eight bytes count.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
 
 
 class Encoder:
@@ -112,9 +127,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        """`key` is sorted; by entry: place and number of ids in `pool`, place and number of bytes in `bytes`."""
-        self.key, self.pool, self.bytes = np.zeros(0, _U64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        self.first, self.count, self.at, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        """`key` is sorted; by entry: place and number of ids in `pool`, number of bytes, the first and last eight of them, and the
+        place in `bytes` of all, kept for pieces of over 16."""
+        self.key, self.head, self.tail = (np.zeros(0, _U64) for _ in range(3))
+        self.pool, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.first, self.count, self.at, self.size = (np.zeros(0, np.int32) for _ in range(4))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,6 +155,9 @@ class Encoder:
         """(cache entry of each piece of a chunk, number of pieces of each text); None if a piece has another's hash."""
         start = piece_starts(body, at)
         size = np.append(start[1:], len(body)) - start
+        eights = _eights(body)
+        head = eights[start] & _FIRST[np.minimum(size, 8)]
+        tail = np.where(size > 8, eights[np.maximum(start + size - 8, 0)], _U64(0))
         key, one, each = np.unique(span_hashes(body, start, start + size), return_index=True, return_inverse=True)
         entry = np.searchsorted(self.key, key)
         new = np.ones(len(key), dtype=bool)
@@ -149,16 +169,22 @@ class Encoder:
                 new[:] = True
             raw, begin, n = body.tobytes(), start[one[new]], size[one[new]]
             found = self._encode_pieces([raw[a : a + b].decode() for a, b in zip(begin.tolist(), n.tolist())])
-            count = np.array([len(x) for x in found], np.int64)
-            first, place = len(self.pool) + np.cumsum(count) - count, len(self.bytes) + np.cumsum(n) - n
+            count = np.array([len(x) for x in found], np.int32)
+            long = np.where(n > 16, n, 0)
+            first, place = len(self.pool) + np.cumsum(count) - count, len(self.bytes) + np.cumsum(long) - long
             order = np.argsort(np.concatenate([self.key, key[new]]), kind="stable")
-            grown = ((self.key, key[new]), (self.first, first), (self.count, count), (self.at, place), (self.size, n))
-            self.key, self.first, self.count, self.at, self.size = (np.concatenate(x)[order] for x in grown)
+            grown = {"key": key[new], "first": first, "count": count, "at": place, "size": n, "head": head[one[new]], "tail": tail[one[new]]}
+            for name, more in grown.items():
+                mine = getattr(self, name)
+                setattr(self, name, np.concatenate([mine, more.astype(mine.dtype)])[order])
             self.pool = np.concatenate([self.pool, *found])
-            self.bytes = np.concatenate([self.bytes, body[np.repeat(begin, n) + steps(n)]])
+            self.bytes = np.concatenate([self.bytes, body[np.repeat(begin, long) + steps(long)]])
             entry = np.searchsorted(self.key, key)
         entry = entry[each]
-        if (self.size[entry] != size).any() or not same_spans(self.bytes, self.at[entry], body, start, size).all():
+        if (self.size[entry] != size).any() or (self.head[entry] != head).any() or (self.tail[entry] != tail).any():
+            return None
+        long = np.flatnonzero(size > 16)
+        if not same_spans(self.bytes, self.at[entry[long]].astype(np.int64), body, start[long], size[long]).all():
             return None
         return entry, np.diff(np.searchsorted(start, at))
 
