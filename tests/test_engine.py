@@ -1,12 +1,15 @@
 """Searches over a small tree with traps, and the operators around them."""
 
 import json
+import socket
 
 import pytest
 from pyspark.sql import functions as F
 
+from treesift import server
 from treesift.api import Engine
 from treesift.cli import main
+from treesift.functions import highlight
 from treesift.functions.text import CATEGORIES
 from treesift.operators import diff, history, tree
 from treesift.operators.ingest import ingest, select_listing
@@ -275,6 +278,30 @@ def test_requests(spark, entries):
     assert "error" in engine.tool({"id": 3, "method": "x"}) and "error" in engine.tool({"id": 4, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "a", "mode": "z"}}})
 
 
+def test_server_and_the_way_back_to_the_snapshot(spark, entries, tmp_path, capsys):
+    path = str(tmp_path / "socket")
+    snapshot.save(entries, str(tmp_path / "s"))
+    assert server.ask(path, {"q": "report"}) is None
+    running = server.Server(Engine(entries), path, NOW).start()
+    try:
+        got = server.ask(path, {"v": 1, "q": "report", "requestId": 7, "limit": 2, "fields": ["path", "size"]})
+        assert (got["requestId"], got["ok"], got["total"], got["truncated"], len(got["results"])) == (7, True, 4, True, 2)
+        with socket.socket(socket.AF_UNIX) as s:
+            s.connect(path)
+            s.sendall(b'no json\n[1]\n{"q": "leaf", "countOnly": true}\n{"jsonrpc": "2.0", "id": 1, "method": "tools/list"}\n')
+            lines = [json.loads(s.makefile("rb").readline()) if i == 0 else None for i in range(1)]
+            assert lines[0]["error"]["code"] == "bad_request"
+        for line, want in ((b"[1]", False), (b'{"q": "leaf", "countOnly": true}', True)):
+            assert server.answer(Engine(entries), line, NOW)["ok"] is want
+        assert main(["report", "--count", "--socket", path], spark) == 0  # from the server
+    finally:
+        running.shutdown()
+        running.server_close()
+    assert main(["report", "--count", "--socket", path, "--snapshot", str(tmp_path / "s")], spark) == 0  # from the snapshot
+    assert main(["report", "--snapshot", str(tmp_path / "none")], spark) == 1
+    assert capsys.readouterr().out == "4\n4\n"
+
+
 def test_command_line(spark, entries, tmp_path, capsys):
     snapshot.save(entries, str(tmp_path / "s"))
     run = lambda *a: (main([*a, "--snapshot", str(tmp_path / "s")], spark, __import__("sys").stdout), capsys.readouterr().out)
@@ -359,8 +386,12 @@ def test_whole_tree_queries(spark):
     run = lambda name: E.queries()[name](spark, folder).collect()
     rows = engine.entries(spark, folder).select("path", "depth", "name").collect()
     assert len({r.path for r in rows}) == len(rows) and max(r.depth for r in rows) > 3
-    assert sorted((r.path, r.depth) for r in run("tree_paths_all")) == sorted((r.path, r.depth) for r in rows)
+    assert sorted((r.path, r.depth) for r in run("tree_paths")) == sorted((r.path, r.depth) for r in rows)
     want = [(r.path, "/".join(r.path.split("/")[:n]) or "/") for r in rows if r.path != "/" for n in range(1, len(r.path.split("/")))]
-    assert sorted((r.path, r.ancestor) for r in run("tree_ancestors_all") if r.path != "/") == sorted(want)
-    assert sorted(r.path for r in run("highlight_spans")) == sorted(r.path for r in rows)
-    assert len(run("csv_lines_all")) == len(rows)
+    assert sorted((r.path, r.ancestor) for r in run("tree_ancestors")) == sorted(want)
+    spans = [(r.path, a, n) for r in rows for a, n in highlight.spans(r.name, "report -x e ext:md")]
+    assert sorted(map(tuple, run("highlight_spans"))) == sorted(spans) and len({p for p, _, _ in spans}) < len(rows)
+    assert len(run("csv_lines")) == len(rows) and any('""' in r.line for r in run("csv_lines"))
+    empty = {"regex_invalid", "scope_missing"}  # by their meaning
+    for name in ("term_phrase", "term_unknown_filter", "ext_trailing_dot", "runcount_order", "relevance_or", "relevance_whole_word", "ingest_device", *empty):
+        assert bool(run(name)) != (name in empty), name

@@ -120,3 +120,15 @@ def test_highlights():
     assert spans("Report_report.md", "report -x ext:md MD") == [(0, 6), (7, 6), (14, 2)]
     assert spans("xCode", "xd e", "fuzzy") == [(0, 1), (3, 1), (4, 1)]
     assert spans("abc", "a*", "exact") == spans("abc", "a", "regex") == []
+
+
+def test_alignments_of_batches_equal_those_of_one_text():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abAB1_ .é") for _ in range(rng.randrange(n)))
+    for needle in ("ab", "aba", "b1a_", "éa", "a" * 33, "abab1"):
+        names = [text(n) for n in (1, 6, 12, 40, 300) for _ in range(60)] + ["", "ab", "aba", "AbaBa"]
+        hays = [search_fold(n).encode() for n in names] + [None]
+        cased = [n.encode() if i % 3 else None for i, n in enumerate(names)] + [None]
+        want = [None if h is None else S.best_fuzzy(h, needle.encode(), 0 if c is None else S.camel_humps(c)) for h, c in zip(hays, cased)]
+        assert S.fuzzy_scores(hays, cased, needle.encode()) == [None if w is None else w[0] for w in want]
+    assert S.fuzzy_scores([], [], b"abc") == []

@@ -17,6 +17,7 @@ from .operators.search import search
 from .operators.tree import live
 from .plans.query import DESCENDING, EXACT, FUZZY, NAME, PATH, REGEX, WILDCARD, SearchOptions
 
+# The names, aliases, limits and error codes that clients of the protocol depend on.
 PROTOCOL = 1
 MODES = {"exact": EXACT, "fuzzy": FUZZY, "wildcard": WILDCARD, "glob": WILDCARD, "regex": REGEX}
 SORTS = {
@@ -78,10 +79,12 @@ class Engine:
         )
         began = time.perf_counter()
         result = search(self.entries, request["q"], mode, scope, sort, ascending, limit, now, root, options, self.history, self.contents, self.tags)
-        total = result.total()
+        if request.get("countOnly"):
+            total, rows = result.total(), None
+        else:
+            total, rows = result.top("path", "name", "size", F.col("mtime_ns").alias("mtime"), F.col("is_dir").alias("isDir"))
         out = {"total": total, "truncated": total > limit, "contentIncomplete": result.content_incomplete()}
-        if not request.get("countOnly"):
-            rows = result.rows.select("path", "name", "size", F.col("mtime_ns").alias("mtime"), F.col("is_dir").alias("isDir")).collect()  # at most `limit`
+        if rows is not None:
             if any(f != "path" for f in request.get("fields") or ["path"]):
                 out["results"] = [r.asDict() for r in rows]
             else:

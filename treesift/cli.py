@@ -1,4 +1,8 @@
-"""`python -m treesift.cli QUERY... --snapshot FOLDER`: a search from the command line."""
+"""`python -m treesift.cli QUERY... --snapshot FOLDER`: a search from the command line.
+
+With `--socket` a running server is asked, which needs no session here; if there is none, the snapshot is searched.
+With `--serve` it becomes that server.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import server
 from .api import MODES, SORTS, Engine
 from .operators.ingest import ingest
 from .sources import snapshot
@@ -20,6 +25,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     where = p.add_mutually_exclusive_group()
     where.add_argument("--snapshot", help="folder of a snapshot to search")
     where.add_argument("--crawl", help="folder to crawl and search")
+    p.add_argument("--socket", help="ask the server at this path first")
+    p.add_argument("--serve", help="answer requests at this path until stopped")
     p.add_argument("--mode", default="exact", choices=sorted(MODES))
     p.add_argument("--path", action="store_true", help="compare terms with whole paths")
     p.add_argument("--sort", default="name", choices=sorted(SORTS))
@@ -54,9 +61,18 @@ def render(a: argparse.Namespace, response: dict) -> str:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = arguments(sys.argv[1:] if argv is None else argv)
-    spark = spark or SparkSession.builder.appName("treesift").getOrCreate()
-    entries = snapshot.load(spark, a.snapshot) if a.snapshot else ingest(crawl(spark, a.crawl or "."))
-    response = Engine(entries).handle(request(a))
+    response = server.ask(a.socket, request(a)) if a.socket else None
+    if response is None:
+        spark = spark or SparkSession.builder.appName("treesift").getOrCreate()
+        try:
+            entries = snapshot.load(spark, a.snapshot) if a.snapshot else ingest(crawl(spark, a.crawl or "."))
+        except snapshot.SnapshotError as e:
+            print(e, file=sys.stderr)
+            return 1
+        if a.serve:
+            server.Server(Engine(entries.persist()), a.serve).serve_forever()
+            return 0
+        response = Engine(entries).handle(request(a))
     if not response["ok"]:
         print(response["error"]["msg"], file=sys.stderr)
         return 2

@@ -1,16 +1,20 @@
 """How well a name matches a term.  Positions and lengths are in UTF-8 bytes.
 
 Scores of exact, whole-word and pattern matches are expressions; those of fuzzy matches need dynamic
-programming over bytes and are an Arrow UDF, which a query attaches only to rows that have matched.
+programming over bytes and are an Arrow UDF, which a query attaches only to rows that have matched and
+which aligns whole batches at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from ..sources.keep import ship
+
 # The weights of the scores.
 BASE, FAR = 1000, 900
 START, BOUNDARY, WORD_START = 150, 60, 80
@@ -25,6 +29,7 @@ CAMEL_BYTES = 64
 DEPTH_CAP = 16
 SCORE_CAP = (2**31 - 1) // 64 - 16
 HOUR_NS = 3600 * 10**9
+FUZZY_ROWS = 2048  # texts that are aligned together
 RECENT = ((HOUR_NS, 60), (24 * HOUR_NS, 40), (7 * 24 * HOUR_NS, 20))
 
 
@@ -54,13 +59,16 @@ def exact_score(hay: Column, needle: str, cased: Column | None) -> Column:
     def score(at: Column, bonus: int) -> Column:
         return F.lit(BASE + bonus) - F.least(byte_before(hay, at), F.lit(FAR))
 
-    places = [F.locate(needle, hay)]
-    for _ in range(PROBES):
-        places.append(F.when(places[-1] > 0, _locate_from(n, hay, places[-1] + 1)).otherwise(0))
-    first = places[0]
-    later = F.lit(None).cast("int")
-    for at in reversed(places[1:]):
-        later = F.when((at > 0) & _boundary(hay, cased, at), score(at, BOUNDARY)).otherwise(later)
+    first = F.locate(needle, hay)
+
+    def probe(seen: Column, _: Column) -> Column:
+        at = F.when(seen["at"] > 0, _locate_from(n, hay, seen["at"] + 1)).otherwise(0)
+        hit = seen["found"].isNull() & (at > 0) & _boundary(hay, cased, at)
+        return F.struct(at.alias("at"), F.when(hit, score(at, BOUNDARY)).otherwise(seen["found"]).alias("found"))
+
+    # a loop, and not one expression for each probe, which would make more code than is compiled
+    start = F.struct(first.alias("at"), F.lit(None).cast("int").alias("found"))
+    later = F.aggregate(F.sequence(F.lit(1), F.lit(PROBES)), start, probe, lambda seen: seen["found"])
     inner = F.greatest(score(first, 0), later)
     best = F.when(first == 1, score(first, START)).when(_boundary(hay, cased, first), score(first, BOUNDARY)).otherwise(inner)
     return best + tightness(hay, needle)
@@ -140,16 +148,83 @@ def best_fuzzy(hay: bytes, needle: bytes, humps: int = 0) -> tuple[int, int] | N
     return max(1, best[0] - best[1] + max(0, TIGHT - (len(hay) - len(needle)))), best[1]
 
 
+def fuzzy_scores(hays: list[bytes | None], cased: list[bytes | None], needle: bytes) -> list[int | None]:
+    """The scores of `best_fuzzy` for many texts at once: every step of the alignment is done for all of them."""
+    out: list[int | None] = [None] * len(hays)
+    aligned = []
+    for i, hay in enumerate(hays):
+        if hay is None:
+            continue
+        if ALIGN_NEEDLE[0] <= len(needle) <= ALIGN_NEEDLE[1] and len(hay) <= ALIGN_HAY:
+            aligned.append(i)
+        else:
+            found = greedy_fuzzy(hay, needle, camel_humps(cased[i] or b""))
+            out[i] = None if found is None else found[0]
+    if not aligned:
+        return out
+    size = np.array([len(hays[i]) for i in aligned])
+    width = max(1, int(size.max()))
+    text = _columns([hays[i] for i in aligned], width)
+    shown = _columns([cased[i] or b"" for i in aligned], width)
+    after = np.zeros(text.shape, dtype=bool)  # a word begins here
+    after[0] = True
+    after[1:] = np.isin(text[:-1], np.frombuffer(SEPARATORS.encode(), np.uint8))
+    n = min(width, CAMEL_BYTES)
+    after[1:n] |= _among(shown[1:n], "AZ") & (_among(shown[: n - 1], "az") | _among(shown[: n - 1], "09"))
+    bonus = np.where(after, ALIGN_BOUNDARY, 0).astype(np.int32)
+    inside = np.arange(width)[:, None] < size
+    nothing = np.int32(-(1 << 28))
+
+    # by place and text: the value of the cell there, where its alignment starts, the bonus of the run it ends
+    here = (text == needle[0]) & inside
+    value, start, run = np.where(here, ALIGN_CHAR + 2 * bonus, nothing), np.where(here, np.arange(width, dtype=np.int32)[:, None], 0), bonus
+    for byte in needle[1:]:
+        here = (text == byte) & inside
+        new, begun, carried = np.full_like(value, nothing), np.zeros_like(start), np.zeros_like(run)
+        gap, gap_start = np.full(len(size), nothing), np.zeros(len(size), np.int32)
+        for j in range(1, width):
+            before = value[j - 1]
+            gap -= GAP_MORE
+            opened = before - GAP_OPEN > gap
+            gap[opened], gap_start[opened] = before[opened] - GAP_OPEN, start[j - 1][opened]
+            if not here[j].any():
+                continue
+            far = gap + ALIGN_CHAR + bonus[j]
+            near = before + ALIGN_CHAR + np.maximum(np.maximum(bonus[j], run[j - 1]), ALIGN_NEXT)
+            close = near >= far
+            new[j] = np.where(here[j], np.where(close, near, far), nothing)
+            begun[j] = np.where(close, start[j - 1], gap_start)
+            carried[j] = np.where(close, np.maximum(run[j - 1], bonus[j]), bonus[j])
+        value, start, run = new, begun, carried
+    best = np.where(value > nothing // 2, value - start, nothing).max(axis=0)
+    score = np.maximum(1, best + np.maximum(0, TIGHT - (size - len(needle))))
+    for i, s, b in zip(aligned, score.tolist(), best.tolist()):
+        if b > nothing // 2:
+            out[i] = s
+    return out
+
+
+def _columns(texts: list[bytes], width: int) -> np.ndarray:
+    """The bytes of texts by place and text, zero after the end."""
+    out = np.frombuffer(b"".join(t[:width].ljust(width, b"\0") for t in texts), np.uint8)
+    return np.ascontiguousarray(out.reshape(-1, width).T)
+
+
+def _among(x: np.ndarray, ends: str) -> np.ndarray:
+    return (x >= ord(ends[0])) & (x <= ord(ends[1]))
+
+
 def fuzzy_score(needle: str) -> Callable[[Column, Column], Column]:
     """A UDF of (folded text, cased text or null) with the score of the best alignment, null without one."""
+    ship()
     wanted = needle.encode()
 
     @F.pandas_udf("int")
     def score(hay: pd.Series, cased: pd.Series) -> pd.Series:
-        out = []
-        for h, c in zip(hay, cased):
-            found = None if h is None else best_fuzzy(h.encode(), wanted, 0 if c is None else camel_humps(c.encode()))
-            out.append(None if found is None else found[0])
+        hays, shown = ([None if pd.isna(x) else x.encode() for x in column] for column in (hay, cased))
+        out: list[int | None] = []
+        for k in range(0, len(hays), FUZZY_ROWS):
+            out += fuzzy_scores(hays[k : k + FUZZY_ROWS], shown[k : k + FUZZY_ROWS], wanted)
         return pd.Series(out, dtype="Int32")
 
     return score

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scoring import frecency
 
@@ -38,9 +38,10 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
 
 def recent_searches(searches: DataFrame, cap: int = 15, least: int = 2) -> DataFrame:
     """(query, at): the latest of each query, whatever its case, newest first, `cap` of them."""
-    latest = Window.partitionBy(F.lower("query")).orderBy(F.desc("at"), "query")
     long = searches.where(F.length("query") >= least)
-    return long.withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n").orderBy(F.desc("at"), "query").limit(cap)
+    # of equal times the first spelling, in an aggregation that is combined before the shuffle
+    newest = long.groupBy(F.lower("query").alias("k"), "at").agg(F.min("query").alias("query")).groupBy("k").agg(F.max_by("query", "at").alias("query"), F.max("at").alias("at"))
+    return newest.select("query", "at").orderBy(F.desc("at"), "query").limit(cap)
 
 
 def upsert_saved(saved: DataFrame, changes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, Window, functions as F
 
 from ..functions import scoring
 from ..functions.text import ascii_fold, ascii_lower, nfc, tag_name
@@ -47,6 +47,13 @@ class SearchResult:
     def total(self) -> int:
         return self.matches.count()
 
+    def top(self, *columns) -> tuple[int, list[Row]]:
+        """(number of all matches, the first `limit` rows), in one pass over the matches."""
+        seen = Observation()
+        counted = self.matches.observe(seen, F.count(F.lit(1)).alias("total"))
+        rows = counted.orderBy(*self.order).limit(self.limit).select(*columns).collect()
+        return seen.get["total"], rows
+
     def truncated(self) -> bool:
         return self.total() > self.limit
 

@@ -88,7 +88,7 @@ _search("term_or", "note|inner|", f"({_name('note')} OR {_name('inner')})")
 _search("term_not", "report -pdf", f"{_name('report')} AND NOT {_name('pdf')}")
 _search("term_not_keyword", "report NOT ext:pdf", f"{_name('report')} AND coalesce(ext <> 'pdf', true)")
 _search("term_not_group", "!report|note folder:", f"NOT ({_name('report')} OR {_name('note')}) AND {_DIRLIKE}")
-_search("term_phrase", '"polished steel"', _name("polished steel"))
+_search("term_phrase", '"small widget"', _name("small widget"))
 _search("term_casesensitive", "case:on Report", "contains(name, 'Report')")
 _search("term_unknown_filter", "foo:bar", _name("foo:bar"))
 _search("glob_auto", "report_1*.p?f", _name_like("report|_1%.p_f"))
@@ -192,12 +192,81 @@ ORACLE_SQL["relevance_inner"] = _relevance_sql("er", _name("er"), "0")
 _search("relevance_frecency", "note", None, sort="relevance", ascending=False, columns=("score",), history=True)
 ORACLE_SQL["relevance_frecency"] = _relevance_sql("note", _name("note"), _BOOST, ", " + HISTORY_SQL, "(SELECT * FROM entries LEFT JOIN history USING (path))")
 
+
+
+def _or_sql(needles: tuple[str, ...]) -> str:
+    """Ranked matches of a group of alternatives: of each row the score of the first that matches."""
+    sql, scores = f"SELECT * FROM entries WHERE {' OR '.join(_name(n) for n in needles)}", []
+    for i, needle in enumerate(needles):
+        (a, score_a), (b, score_b) = _exact_sql("name_fold", "name", f"a{i}_", needle), _exact_sql("name_ufold", None, f"b{i}_", needle)
+        for x, y in zip(a, b):
+            sql = f"SELECT *, {x}, {y} FROM ({sql})"
+        scores.append(f"greatest({score_a}, {score_b})")
+    sql = f"SELECT *, CAST((coalesce({', '.join(scores)}) + {_RECENT}) * 64 - least(depth, 16) AS BIGINT) AS score FROM ({sql})"
+    return f"{ENTRIES_SQL} SELECT path, row_number() OVER (ORDER BY score DESC, {BY_NAME}) AS rank, score FROM ({sql}) ORDER BY score DESC, {BY_NAME}"
+
+
+def _word_sql(word: str) -> str:
+    """Ranked matches of a whole word, by its first occurrence as one."""
+    inner = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
+
+    def score(c: str) -> str:
+        alone = f"substr({c}, i, {len(word)}) = '{word}' AND (i = 1 OR NOT regexp_matches(substr({c}, i - 1, 1), '{inner}')) AND NOT regexp_matches(substr({c}, i + {len(word)}, 1), '{inner}')"
+        at = f"list_min(list_filter(range(1, length({c}) + 1), lambda i: {alone}))"
+        return f"(SELECT 1000 - least(strlen(substr({c}, 1, p - 1)), 900) + CASE WHEN p = 1 OR substr({c}, p - 1, 1) IN ('/', '_', '-', '.', ' ') THEN 80 ELSE 0 END FROM (SELECT {at} AS p) WHERE p IS NOT NULL)"
+
+    sql = f"SELECT *, CAST((greatest({score('name_fold')}, {score('name_ufold')}) + {_RECENT}) * 64 - least(depth, 16) AS BIGINT) AS score FROM entries WHERE {_word(word)}"
+    return f"{ENTRIES_SQL} SELECT path, row_number() OVER (ORDER BY score DESC, {BY_NAME}) AS rank, score FROM ({sql}) ORDER BY score DESC, {BY_NAME}"
+
+
+_search("relevance_or", "report|note", None, sort="relevance", ascending=False, columns=("score",))
+ORACLE_SQL["relevance_or"] = _or_sql(("report", "note"))
+_search("relevance_whole_word", "ww: report", None, sort="relevance", ascending=False, columns=("score",))
+ORACLE_SQL["relevance_whole_word"] = _word_sql("report")
+
+
+def _fuzzy_ctes(needle: str) -> str:
+    """Common table expressions that end with `f_<needle>` (path, score): the best alignment in SQL.
+
+    Level by level of the needle's bytes: a cell of a level is a place of that byte, reached after a gap
+    (which costs by its length) or right after the cell before (which may carry on a boundary's bonus).
+    """
+    out = []
+    for tag, hay, cased in (("a", "name_fold", "name"), ("u", "name_ufold", "NULL")):
+        p = f"{tag}_{needle}"
+        out.append(
+            f"""{p}_bytes AS (
+  SELECT path, size, j, substr(h, 2 * j + 1, 2) AS byte,
+    CASE WHEN j = 0 OR substr(h, 2 * j - 1, 2) IN ('2F', '5F', '2D', '2E', '20') OR (j < 64 AND substr(c, 2 * j + 1, 2) BETWEEN '41' AND '5A' AND (substr(c, 2 * j - 1, 2) BETWEEN '61' AND '7A' OR substr(c, 2 * j - 1, 2) BETWEEN '30' AND '39')) THEN 10 ELSE 0 END AS bonus
+  FROM (SELECT path, strlen({hay}) AS size, hex(encode({hay})) AS h, coalesce(hex(encode({cased})), '') AS c, unnest(range(strlen({hay}))) AS j FROM entries WHERE {hay} IS NOT NULL))"""
+        )
+        for k, byte in enumerate(needle.encode()):
+            if k == 0:
+                out.append(f"{p}_0 AS (SELECT path, size, j, 16 + 2 * bonus AS v, j AS first, bonus AS run FROM {p}_bytes WHERE byte = '{byte:02X}')")
+                continue
+            out.append(
+                f"""{p}_{k} AS (
+  SELECT path, size, j, CASE WHEN near >= far THEN near ELSE far END AS v, CASE WHEN near >= far THEN near_first ELSE far_first END AS first, CASE WHEN near >= far THEN greatest(near_run, bonus) ELSE bonus END AS run
+  FROM (SELECT b.path, b.size, b.j, b.bonus, max(l.v - 3 - (b.j - 1 - l.j)) + 16 + b.bonus AS far, arg_max(l.first, (l.v - 3 - (b.j - 1 - l.j)) * 4096 - l.j) AS far_first,
+      max(CASE WHEN l.j = b.j - 1 THEN l.v + 16 + greatest(b.bonus, l.run, 4) END) AS near, max(CASE WHEN l.j = b.j - 1 THEN l.first END) AS near_first, max(CASE WHEN l.j = b.j - 1 THEN l.run END) AS near_run
+    FROM {p}_bytes b JOIN {p}_{k - 1} l ON l.path = b.path AND l.j < b.j WHERE b.byte = '{byte:02X}' GROUP BY b.path, b.size, b.j, b.bonus))"""
+            )
+        out.append(f"{p} AS (SELECT path, greatest(1, max(v - first) + greatest(0, 40 - (any_value(size) - {len(needle)}))) AS score FROM {p}_{len(needle) - 1} GROUP BY path)")
+    out.append(f"f_{needle} AS (SELECT path, max(score) AS score FROM (SELECT * FROM a_{needle} UNION ALL SELECT * FROM u_{needle}) GROUP BY path)")
+    return ", " + ", ".join(out)
+
+
+ORACLE_SQL["fuzzy_rank"] = (
+    f"{ENTRIES_SQL}{_fuzzy_ctes('nt1')}{_fuzzy_ctes('swift')}, r AS (SELECT e.*, CAST((s.score + t.score + {_RECENT}) * 64 - least(depth, 16) AS BIGINT) AS score "
+    f"FROM entries e JOIN f_nt1 s USING (path) JOIN f_swift t USING (path)) SELECT path, row_number() OVER (ORDER BY score DESC, {BY_NAME}) AS rank, score FROM r ORDER BY score DESC, {BY_NAME}"
+)
+
 _FRECENCY = f"count * pow(2, -greatest(0, {NOW} - last_run) / 1209600)"
-_search("runcount_order", "ext:pdf|report", None, sort="runcount", ascending=False, history=True)
+_search("runcount_order", "report|note ext:pdf", None, sort="runcount", ascending=False, history=True)
 _search("runcount_files", "ext:md,zip", None, sort="runcount", ascending=False, history=True)
 _ORDER = f"(count IS NOT NULL) DESC, {_FRECENCY} DESC, {BY_NAME}"
 ORACLE_SQL["runcount_files"] = f"{ENTRIES_SQL}, {HISTORY_SQL} SELECT path, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM entries LEFT JOIN history USING (path) WHERE ext IN ('md', 'zip') ORDER BY {_ORDER}"
-ORACLE_SQL["runcount_order"] = f"{ENTRIES_SQL}, {HISTORY_SQL} SELECT path, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM entries LEFT JOIN history USING (path) WHERE ext IN ('pdf|report') ORDER BY {_ORDER}"
+ORACLE_SQL["runcount_order"] = f"{ENTRIES_SQL}, {HISTORY_SQL} SELECT path, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM entries LEFT JOIN history USING (path) WHERE ({_name('report')} OR {_name('note')}) AND ext = 'pdf' ORDER BY {_ORDER}"
 
 
 def _over_entries(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
@@ -206,8 +275,7 @@ def _over_entries(name: str, run: Callable[[DataFrame], DataFrame], sql: str | N
 
 # Tree
 _over_entries("entries_columns", lambda e: e.select("path", "name_fold", "name_ufold", "path_ufold", "parent_path", "depth", "ext", "type_mask", "is_package", "is_hidden"), "SELECT path, name_fold, name_ufold, path_ufold, parent_path, depth, ext, type_mask, is_package, is_hidden FROM entries")
-_over_entries("tree_ancestors", lambda e: e.where("ext = 'swift'").select("path", F.explode(tree.ancestors(F.col("path"))).alias("ancestor")), "SELECT path, CASE WHEN n = 1 THEN '/' ELSE array_to_string(string_split(path, '/')[1:n], '/') END AS ancestor FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM entries WHERE ext = 'swift')")
-_over_entries("tree_ancestors_all", lambda e: e.select("path", F.explode(tree.ancestors(F.col("path"))).alias("ancestor")), None)
+_over_entries("tree_ancestors", lambda e: e.select("path", F.explode(tree.ancestors(F.col("path"))).alias("ancestor")), "SELECT path, CASE WHEN n = 1 THEN '/' ELSE array_to_string(string_split(path, '/')[1:n], '/') END AS ancestor FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM entries WHERE path <> '/')")
 _over_entries("folder_sizes", lambda e: e.where("is_dir").select("path", "subtree_size"), "SELECT path, subtree_size FROM entries WHERE is_dir")
 _over_entries("subtree_size", lambda e: tree.subtree_size(e, "/apps"), "SELECT coalesce(sum(size), 0)::BIGINT AS subtree_size FROM entries WHERE starts_with(path, '/apps/') AND NOT is_dir")
 _over_entries("selection_total", lambda e: tree.selection_total(e.where("depth <= 3")), "SELECT coalesce(sum(size) FILTER (NOT is_dir), 0)::BIGINT AS total FROM entries WHERE depth <= 3")
@@ -216,10 +284,34 @@ _over_entries("name_counts", lambda e: e.groupBy("name_fold").agg(F.count("*").a
 _over_entries("crawl_stats", listings.crawl_stats, "SELECT count(*) FILTER (obj_type = 1) AS files, count(*) FILTER (obj_type = 2) AS folders, count(*) FILTER (obj_type = 5) AS links, count(*) FILTER ((flags & 1099511627776) <> 0) AS errors FROM entries")
 _over_entries("match_total", lambda e: search(e, "report", now=NOW).matches.agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM entries WHERE {_name('report')}")
 _over_entries("names_kinds", lambda e: e.select("path", kind(F.col("obj_type"), F.col("name")).alias("kind"), shown_extension(F.col("name")).alias("shown"), F.coalesce("parent_path", "path").alias("folder")).where("folder <> '/x'"), "SELECT path, CASE WHEN obj_type = 5 THEN 'Alias' WHEN is_dir AND shown IN ('app', 'bundle', 'appex', 'plugin', 'kext', 'mlmodelc', 'xcodeproj', 'playground', 'docset', 'photoslibrary', 'musiclibrary', 'tvlibrary', 'fcpbundle') THEN 'Bundle' WHEN is_dir THEN 'Folder' WHEN shown = '' THEN 'Document' ELSE upper(shown) || ' file' END AS kind, shown, coalesce(parent_path, path) AS folder FROM (SELECT *, lower(regexp_extract(name, '^.+\\.([^./ ]+)$', 1)) AS shown FROM entries)".replace("\\\\", "\\"))
-_over_entries("highlight_spans", lambda e: e.select("path", highlight.highlight(F.col("name"), "report -x md").alias("spans")), None)
-_over_entries("name_masks", lambda e: e.select("path", fingerprint.mask_column(F.col("name")).alias("mask"), fingerprint.fnv_column(F.col("path")).alias("fnv")), None)
+
+
+def _spans(e: DataFrame) -> DataFrame:
+    found = e.select("path", F.explode(highlight.highlight(F.col("name"), "report -x e ext:md")).alias("span"))
+    return found.select("path", "span.start", "span.length")
+
+
+_over_entries("highlight_spans", _spans, "SELECT DISTINCT path, CAST(i - 1 AS INTEGER) AS start, CAST(length(t) AS INTEGER) AS length FROM (SELECT path, name, t, unnest(range(1, length(name) + 1)) AS i FROM entries, (VALUES ('report'), ('e')) AS w(t)) WHERE lower(substr(name, i, length(t))) = t")
+_BYTES = "list_transform(range(strlen({0})), lambda j: ('0x' || substr(hex(encode({0})), 2 * j + 1, 2))::INTEGER)"
+_BIT = "CASE WHEN b BETWEEN 65 AND 90 THEN b - 65 WHEN b BETWEEN 97 AND 122 THEN b - 97 WHEN b BETWEEN 48 AND 57 THEN b - 22 ELSE 36 + b % 28 END"
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END AS BIGINT)"
+_over_entries(
+    "name_masks",
+    lambda e: e.select("path", fingerprint.mask_column(F.col("name")).alias("mask"), fingerprint.fnv_column(F.col("path")).alias("fnv")),
+    f", m AS (SELECT path, sum(1::HUGEINT << bit) AS mask FROM (SELECT DISTINCT path, {_BIT} AS bit FROM (SELECT path, unnest({_BYTES.format('name')}) AS b FROM entries)) GROUP BY path), "
+    f"f AS (SELECT path, list_reduce({_BYTES.format('path')}, lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616::HUGEINT, {fingerprint.FNV_OFFSET}::HUGEINT) AS fnv FROM entries) "
+    f"SELECT path, {_SIGNED.format('mask')} AS mask, {_SIGNED.format('fnv')} AS fnv FROM m JOIN f USING (path)",
+)
 _over_entries("mask_prefilter", lambda e: e.where(fingerprint.may_contain(fingerprint.mask_column(F.col("name_fold")), "report") & F.contains("name_fold", F.lit("report"))).select("path"), "SELECT path FROM entries WHERE contains(name_fold, 'report')")
-_over_entries("fuzzy_scores", lambda e: e.where("name_fold like '%r%p%t%'").select("path", scoring.fuzzy_score("rpt")(F.col("name_fold"), F.col("name")).alias("score")), None)
+
+
+def _fuzzy(e: DataFrame) -> DataFrame:
+    score = scoring.fuzzy_score("rpt")
+    return e.select("path", F.greatest(score(F.col("name_fold"), F.col("name")), score(F.col("name_ufold"), F.lit(None).cast("string"))).alias("score"))
+
+
+_over_entries("fuzzy_scores", _fuzzy, f"{_fuzzy_ctes('rpt')} SELECT path, CAST(score AS INTEGER) AS score FROM entries LEFT JOIN f_rpt USING (path)")
+_over_entries("row_counts", lambda e: diff.row_counts(live.unmount(e, "/corpus/src1")), "SELECT count(*) FILTER (NOT d) AS live, count(*) FILTER (d) AS deleted FROM (SELECT path = '/corpus/src1' OR starts_with(path, '/corpus/src1/') AS d FROM entries)")
 
 
 def _paths_again(spark: SparkSession, picked: DataFrame) -> DataFrame:
@@ -229,17 +321,20 @@ def _paths_again(spark: SparkSession, picked: DataFrame) -> DataFrame:
 
 
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths found again by recursion over parent links, of the folders' tree."""
-    return _paths_again(spark, entries(spark, sf_dir).where("is_dir and depth <= 3"))
+    """The paths of all entries found again by recursion over parent links."""
+    return _paths_again(spark, entries(spark, sf_dir))
 
 
-def tree_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all entries, files too."""
-    return _paths_again(spark, entries(spark, sf_dir))
+register("tree_paths", tree_paths, ENTRIES_SQL + "SELECT path, depth FROM entries")
+
+
+def ingest_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl that stays on one device: here a file's device is its size modulo three."""
+    rows = tables.listing(spark, sf_dir).withColumn("device", F.col("size") % 3)
+    return select_listing(rows, device=1).select("path")
 
 
-register("tree_paths_all", tree_paths_all)
-register("tree_paths", tree_paths, ENTRIES_SQL + "SELECT path, depth FROM entries WHERE is_dir AND depth <= 3")
+register("ingest_device", ingest_device, ENTRIES_SQL + "SELECT path FROM listing WHERE size % 3 = 1")
 
 
 def ingest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,8 +479,8 @@ def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("live_stream", live_stream, f"{_AFTER} SELECT path, size FROM after")
 _DATE = "CASE WHEN {0} = 0 THEN '' ELSE strftime(make_timestamp({0} // 1000), '%Y-%m-%d %H:%M:%S') END"
 _over_entries("csv_rows", lambda e: export.csv_rows(search(e, "e ext:md,jpg,bundle", now=NOW).rows), f"SELECT name AS \"Name\", path AS \"Path\", CASE WHEN is_dir THEN '' ELSE size::VARCHAR END AS \"Size\", {_DATE.format('mtime_ns')} AS \"Date Modified\", {_DATE.format('crtime_ns')} AS \"Date Created\" FROM entries WHERE {_name('e')} AND ext IN ('md', 'jpg', 'bundle')")
-_over_entries("csv_lines_all", export.csv_lines, None)
-_over_entries("csv_lines", lambda e: export.csv_lines(e.where("ext = 'zip'")), f"SELECT name || ',' || path || ',' || size || ',' || {_DATE.format('mtime_ns')} || ',' || {_DATE.format('crtime_ns')} AS line FROM entries WHERE ext = 'zip'")
+_FIELD = "CASE WHEN regexp_matches({0}, '[,\"\\n\\r]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+_over_entries("csv_lines", export.csv_lines, f"SELECT {_FIELD.format('name')} || ',' || {_FIELD.format('path')} || ',' || CASE WHEN is_dir THEN '' ELSE size::VARCHAR END || ',' || {_DATE.format('mtime_ns')} || ',' || {_DATE.format('crtime_ns')} AS line FROM entries")
 
 
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """A file tree made of the sample tables, and the same in SQL.
 
-Every document, page, part, nation and supplier is a file; regions are empty folders.  The rules use
+Every document, page, part, nation and supplier is a file; a region is an empty folder, and a file with an odd name.  The rules use
 functions that Spark and other engines share, so `ENTRIES_SQL` gives the same entries in DuckDB.
 """
 
@@ -47,6 +47,9 @@ _SOURCES = {
       FROM supplier""",
     "region": """
       SELECT '/empty' AS folder, r_name AS name, CAST(0 AS BIGINT) AS size, CAST(r_regionkey AS BIGINT) AS k, 2 AS obj_type, 0 AS flags
+      FROM region
+      UNION ALL
+      SELECT '/odd' AS folder, concat('foo:bar, "', r_name, '".') AS name, CAST(r_regionkey AS BIGINT) AS size, CAST(r_regionkey AS BIGINT) AS k, 1 AS obj_type, 0 AS flags
       FROM region""",
 }
 _LISTING = f"""
