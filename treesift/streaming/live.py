@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,17 +67,16 @@ def reconcile(entries: DataFrame, folders: DataFrame, lister: Lister, failed: li
 
     Folders that could not be listed are appended to `failed`.
     """
-    out, known = None, entries
+    parts, known = [], entries
     while True:
         rows, listed, lost = _listed(lister, folders)
         if lost is not None and failed is not None:
             failed.append(lost)
-        found = keep(diff.folder_diff(known, rows, listed))
-        # one plan however many levels: each level's rows are kept, and the union is kept now and then
-        out = found if out is None else keep(out.unionByName(found))
-        folders = keep(found.where(F.col("change").isin(diff.ADDED, diff.REPLACED) & (F.col("obj_type") == FOLDER)).select("path"))
+        parts.append(keep(diff.folder_diff(known, rows, listed)))
+        new = F.col("change").isin(diff.ADDED, diff.REPLACED) & (F.col("obj_type") == FOLDER)
+        folders = parts[-1].where(new).select("path")
         if folders.isEmpty():
-            return out
+            return reduce(DataFrame.unionByName, parts)
         known = entries.limit(0)
 
 
@@ -101,10 +101,7 @@ def apply_batch(spark: SparkSession, folder: str, events: DataFrame, lister: Lis
     changes = reconcile(entries, folders, lister, failed)
     diff.change_log(changes, seen.last).write.mode("overwrite").parquet(f"{folder}/log/batch={seen.last}")
     if failed:
-        lost = failed[0]
-        for more in failed[1:]:
-            lost = lost.unionByName(more)
-        lost.distinct().write.mode("overwrite").parquet(f"{folder}/pending/batch={seen.last}")
+        reduce(DataFrame.unionByName, failed).distinct().write.mode("overwrite").parquet(f"{folder}/pending/batch={seen.last}")
     versions = keep(diff.delta(entries, changes))
     manifest = snapshot.append(versions, folder, manifest, cursor=seen.last, now=now)
     if snapshot.wants_base(manifest, now):
