@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from ..sources.keep import keep, small
+from ..sources.keep import keep, keep_columns, small
 from ..sources.listing import FILE, FOLDER, ROOT
 from .tree import ancestors, depth_of, parent_of, repeated_names
 
@@ -91,7 +91,7 @@ def ingest(listing: DataFrame) -> DataFrame:
     which are missing.  Partial sums are taken before the shuffle, so folders near the root are no hot
     keys, and only folders are joined with their totals.
     """
-    rows = keep(enrich(listing.select("path", "name", "size", "mtime_ns", "crtime_ns", "obj_type", "flags")))
+    rows = keep_columns(enrich(listing.select("path", "name", "size", "mtime_ns", "crtime_ns", "obj_type", "flags")))
     above = keep(sums_above(rows.select("path", F.when(~F.col("is_dir"), F.col("size")).otherwise(0).alias("bytes"))))
     there = rows.where("is_dir").select("path")
     missing = keep(above.select("path").join(there, "path", "left_anti"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,6 +51,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def keep_columns(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder by column: for wide tables of which later steps read a few columns."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, so that neither reuse nor a lost executor repeats the work."""
     shared_folder(df.sparkSession)
