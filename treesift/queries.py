@@ -429,7 +429,8 @@ register("diff_applied", lambda s, d: tree.live(diff.apply(entries(s, d), _diff(
 def totals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folder totals carried forward by the change log alone."""
     log = diff.change_log(_diff(spark, sf_dir), 1)
-    return diff.totals_after(tree.folder_totals(entries(spark, sf_dir)), log)
+    stored = entries(spark, sf_dir).where("subtree_size <> 0").select("path", "subtree_size")
+    return diff.totals_after(stored, log)
 
 
 register("totals_incremental", totals_incremental, f"{_AFTER} SELECT CASE WHEN n = 1 THEN '/' ELSE array_to_string(parts[1:n], '/') END AS path, sum(size)::BIGINT AS subtree_size FROM (SELECT size, parts, unnest(range(1, len(parts))) AS n FROM (SELECT size, string_split(path, '/') AS parts FROM after WHERE NOT is_dir)) GROUP BY 1 HAVING sum(size) <> 0")
