@@ -59,8 +59,8 @@ def render(a: argparse.Namespace, response: dict) -> str:
     return "".join(p + end for p in response["paths"])
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
-    a = arguments(sys.argv[1:] if argv is None else argv)
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
+    a, out = arguments(sys.argv[1:] if argv is None else argv), out or sys.stdout
     response = server.ask(a.socket, request(a)) if a.socket else None
     if response is None:
         spark = spark or SparkSession.builder.appName("treesift").getOrCreate()
