@@ -395,3 +395,14 @@ def test_whole_tree_queries(spark):
     empty = {"regex_invalid", "scope_missing"}  # by their meaning
     for name in ("term_phrase", "term_unknown_filter", "ext_trailing_dot", "runcount_order", "relevance_or", "relevance_whole_word", "ingest_device", *empty):
         assert bool(run(name)) != (name in empty), name
+
+
+def test_queries_whose_sql_has_no_limit_return_every_row(spark):
+    from treesift import queries
+    from treesift.operators.search import LIMIT
+
+    n = LIMIT + 1
+    name = F.concat(F.lit("report_"), "id", F.lit(".jpg"))
+    rows = spark.range(n).select(F.concat(F.lit("/d/"), name).alias("path"), name.alias("name"), *(F.col("id").alias(c) for c in ("size", "mtime_ns", "crtime_ns")), F.lit(1).alias("obj_type"), F.lit(0).cast("long").alias("flags"))
+    queries._entries[(spark.sparkContext.applicationId, "many")] = ingest(rows)
+    assert queries.QUERIES["csv_rows"](spark, "many").count() == n
