@@ -406,7 +406,7 @@ def test_queries_whose_sql_has_no_limit_return_every_row(spark):
     rows = spark.range(n).select(F.concat(F.lit("/d/"), name).alias("path"), name.alias("name"), *(F.col("id").alias(c) for c in ("size", "mtime_ns", "crtime_ns")), F.lit(1).alias("obj_type"), F.lit(0).cast("long").alias("flags"))
     queries._entries[(spark.sparkContext.applicationId, "many")] = ingest(rows)
     assert queries.QUERIES["csv_rows"](spark, "many").count() == n
-    for query in ("relevance_exact", "relevance_or"):
+    for query in ("relevance_exact", "relevance_or", "relevance_whole_word"):
         found = queries.QUERIES[query](spark, "many").select("path", "rank", "score").toPandas()
         assert found["rank"].tolist() == list(range(1, n + 1)) and found.path.is_unique, query
         wanted = found.assign(down=-found.score, fold=found.path.str.slice(3)).sort_values(["down", "fold"])
