@@ -80,3 +80,19 @@ def test_several_sizes_cost_no_more_than_one(spark):
 
 def test_empty_table(spark):
     assert B.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
+
+
+def test_few_files_whatever_the_partitions_and_memory_is_given_back(spark, monkeypatch):
+    calls, calm = [], B.calm
+    monkeypatch.setattr(B, "calm", lambda session: calls.append(calm(session)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        given = [(i, 1 + i % 300) for i in range(2000)]
+        out = B.pack(spark.createDataFrame(given, "doc_id long, n_tokens long"), (32, 64, 128))
+        assert out.rdd.getNumPartitions() <= 6 * spark.sparkContext.defaultParallelism < 97 and calls
+        check([tuple(r) for r in out.collect()], (32, 64, 128), given)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._spark import cut, ship
+from ._spark import calm, cut, gathered, ship
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
@@ -167,6 +167,7 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Cal
     pieces = lengths.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"))
     pieces = pieces.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest))).alias("piece"))
     pieces = cut(pieces.select("doc_id", "piece", F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * largest).alias("length")))
+    calm(spark)
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # rows without id are told apart by their place, so that any number of them is no single group
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
@@ -181,4 +182,4 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Cal
     ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(base, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "length", (F.col("base") + F.col("own")).alias("rank"))
     shared = spark.sparkContext.broadcast(plan(histogram, capacities, cost))  # bounded by the largest capacity
-    return ranked.mapInArrow(_place_batches(shared), "doc_id long, piece long, length long, bin long, capacity long, offset long")
+    return gathered(ranked).mapInArrow(_place_batches(shared), "doc_id long, piece long, length long, bin long, capacity long, offset long")
